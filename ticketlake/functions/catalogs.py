@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketlake.functions.text import search_key
+from ticketlake.functions.text import literal_map, search_key
 
 # Lookup key -> canonical value of each closed catalog, the words that mean
 # "no category", default labels and the order of priorities.
@@ -79,9 +79,7 @@ def lookup(name: str, key: Column) -> Column:
     The catalog is a small closed list that travels inside the plan as a literal map, so the
     lookup needs no join.
     """
-    return F.element_at(
-        F.create_map(*[F.lit(x) for pair in CATALOGS[name].items() for x in pair]), key
-    )
+    return F.element_at(literal_map(CATALOGS[name]), key)
 
 
 def _is_blank(name: str, key: Column) -> Column:

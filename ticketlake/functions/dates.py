@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketlake.functions.text import BOM, strip, text_or_empty
+from ticketlake.functions.text import BOM, literal_map, strip, text_or_empty
 
 # Month abbreviations, accepted shapes and reject motives.
 MONTHS = {
@@ -41,7 +41,7 @@ def _as_iso(text: Column, named: str, month: Column) -> Column:
 
 
 def _month(text: Column, months: dict[str, int], letters: int | None) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
+    table = literal_map(months)
     name = F.lower(F.split_part(text, F.lit("-"), F.lit(2)))
     return F.element_at(table, F.substring(name, 1, letters) if letters else name)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -47,6 +48,12 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, BASE = _accent_table()
 
 
+def literal_map(entries: Mapping[str, object]) -> Column:
+    """A small fixed table as a map literal inside the plan."""
+    pairs = ", ".join(f"{key!r}, {value!r}" for key, value in entries.items())
+    return F.expr(f"map({pairs})")
+
+
 def strip(col: Column) -> Column:
     """Drop white space of any script from both ends."""
     return F.btrim(col, F.lit(WHITESPACE))

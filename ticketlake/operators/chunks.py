@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketlake.functions.citations import document_header
 from ticketlake.functions.text import collapse, join_non_blank, strip, text_or_empty
+from ticketlake.operators.skew import settled
 
 # Shapes of section and subsection lines, and the shortest useful fragment.
 _BLANK = (
@@ -36,38 +37,39 @@ def chunk_sections(docs: DataFrame) -> DataFrame:
     document costs time linear in its length.
     """
     lines = docs.select("doc_id", "file_name", plain_lines(F.col("text")).alias("text"))
-    parts = lines.select(
+    headed = lines.withColumn("h", document_header(F.col("text"), F.col("file_name")))
+    parts = headed.select(
         "doc_id",
-        document_header(F.col("text"), F.col("file_name")).alias("h"),
-        F.posexplode(F.split("text", SECTION_START)).alias("part", "body"),
+        "h",
+        F.posexplode_outer(F.split("text", SECTION_START)).alias("part", "body"),
     )
-    heading = F.regexp_extract("body", f"^{SECTION}", 2)
     pieces = parts.select(
         "doc_id",
         "h",
         "part",
-        strip(heading).alias("section_title"),
-        F.posexplode(F.split("body", SUBSECTION_START)).alias("piece", "body"),
+        strip(F.regexp_extract("body", f"^{SECTION}", 2)).alias("section_title"),
+        F.posexplode_outer(F.split("body", SUBSECTION_START)).alias("piece", "body"),
     )
-    section = F.regexp_extract("body", f"^{SECTION}", 1)
-    subsection = F.regexp_extract("body", f"^{SUBSECTION}", 1)
-    is_sub = subsection != ""
+    found = settled(
+        pieces,
+        {
+            "section": F.regexp_extract("body", f"^{SECTION}", 1),
+            "subsection": F.regexp_extract("body", f"^{SUBSECTION}", 1),
+        },
+    ).filter((F.col("section") != "") | (F.col("subsection") != ""))
+    is_sub = F.col("subsection") != ""
+    first_words = F.when(is_sub, F.regexp_extract("body", f"^{SUBSECTION}", 2)).otherwise("")
     rest = F.regexp_replace("body", r"^[^\n]*\n?", "")
-    first_words = F.regexp_extract("body", f"^{SUBSECTION}", 2)
-    text = F.when(is_sub, collapse(F.concat_ws(" ", first_words, rest))).otherwise(collapse(rest))
-    return (
-        pieces.filter(is_sub | (section != ""))
-        .select(
-            "doc_id",
-            F.struct("part", "piece").alias("posicion"),
-            "h.*",
-            F.when(is_sub, subsection).otherwise(section).alias("seccion"),
-            F.when(is_sub, "").otherwise(F.col("section_title")).alias("titulo_seccion"),
-            F.when(is_sub, F.col("section_title")).otherwise("").alias("titulo_padre"),
-            text.alias("texto"),
-        )
-        .withColumn("corto", F.length("texto") < MIN_FRAGMENT)
+    cut = found.select(
+        "doc_id",
+        F.struct("part", "piece").alias("posicion"),
+        "h.*",
+        F.when(is_sub, F.col("subsection")).otherwise(F.col("section")).alias("seccion"),
+        F.when(is_sub, "").otherwise(F.col("section_title")).alias("titulo_seccion"),
+        F.when(is_sub, F.col("section_title")).otherwise("").alias("titulo_padre"),
+        collapse(F.concat_ws(" ", first_words, rest)).alias("texto"),
     )
+    return settled(cut, {"texto": F.col("texto"), "corto": F.length("texto") < MIN_FRAGMENT})
 
 
 def citation_of(document: Column, section: Column) -> Column:

@@ -10,6 +10,7 @@ from ticketlake.functions.catalogs import OPEN_STATES, priority_rank
 from ticketlake.functions.dates import month_bounds, report_dates
 from ticketlake.functions.ratios import percent
 from ticketlake.functions.text import strip, text_or_empty
+from ticketlake.operators.skew import settled
 
 CLOSED = "Cerrado"
 REOPENED = "Reabierto"
@@ -172,7 +173,8 @@ def priority_volume(tickets: DataFrame) -> DataFrame:
 def filter_period(tickets: DataFrame, start: Column, end: Column) -> DataFrame:
     """Rows whose written creation date falls in the closed interval; unreadable dates do not."""
     dated = report_dates(tickets, {"_creado": "fecha_creacion"})
-    return dated.filter(F.col("_creado").between(start, end)).drop("_creado")
+    inside = settled(dated, {"_dentro": F.col("_creado").between(start, end)})
+    return inside.filter("_dentro").drop("_dentro", "_creado")
 
 
 def _report_area() -> Column:

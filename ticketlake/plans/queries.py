@@ -60,8 +60,16 @@ def _flat(col, separator: str = "|"):
     return F.array_join(col, separator)
 
 
+_RENDERED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "tickets_crudos").drop("k")
+    """The hand-written history: an input of the cleaning queries, rendered once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RENDERED:
+        rendered = view(spark, sf_dir, "tickets_crudos").drop("k")
+        _RENDERED[key] = materialize(rendered, "tickets_crudos")
+    return _RENDERED[key]
 
 
 # Typed values ---------------------------------------------------------------------------------
@@ -568,7 +576,10 @@ def w5_topk(spark, sf_dir):
         F.col("pregunta"),
         "query_id",
     )
-    return tfidf.retrieve_top_k(questions, corpus).withColumn("puntaje", F.round("puntaje", 4))
+    found = tfidf.retrieve_top_k(questions, corpus)
+    return found.withColumns(
+        {"puntaje": F.round("puntaje", 4), "posicion": F.col("posicion").cast("bigint")}
+    )
 
 
 def _searchable(spark, sf_dir):
@@ -593,7 +604,7 @@ def _retrieved(spark, sf_dir):
         F.col("query_id").alias("question_id"),
         F.split_part("doc_key", F.lit("\u0001"), F.lit(1)).alias("cita"),
         "puntaje",
-        "posicion",
+        F.col("posicion").cast("bigint").alias("posicion"),
         "doc_key",
     )
     return materialize(cited, "recuperados")
