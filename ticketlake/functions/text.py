@@ -69,14 +69,19 @@ def collapse(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower case without accents: letters keep their base form, combining marks go."""
-    return F.regexp_replace(F.translate(F.lower(col), ACCENTED, BASE), r"\p{Mn}+", "")
+    """Lower case without accents: letters keep their base form, combining marks go.
+
+    Text with as many bytes as characters has no accents to look for.
+    """
+    lowered = F.lower(col)
+    bare = F.regexp_replace(F.translate(lowered, ACCENTED, BASE), r"\p{Mn}+", "")
+    return F.when(F.octet_length(col) == F.length(col), lowered).otherwise(bare)
 
 
 def search_key(col: Column) -> Column:
     """Lookup key of a hand-written value: byte-order mark, outer blanks, a leading
     ``number -`` prefix, repeated blanks, case and accents do not count."""
-    bare = F.lower(strip(F.replace(text_or_empty(col), F.lit(BOM), F.lit(""))))
+    bare = strip(F.replace(text_or_empty(col), F.lit(BOM), F.lit("")))
     unnumbered = F.regexp_replace(bare, rf"^[0-9]+{WS}*-{WS}*", "")
     return strip(fold(F.regexp_replace(unnumbered, f"{WS}+", " ")))
 

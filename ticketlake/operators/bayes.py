@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ticketlake.functions.ratios import rate
 from ticketlake.operators.skew import HOT_ROWS, hot_keys, salted_join
 from ticketlake.operators.tfidf import postings, term_counts
+from ticketlake.session import materialize
 
 TRAIN, TEST = "entrenamiento", "prueba"
 TRAIN_SHARE = 0.8
@@ -26,15 +27,17 @@ class BayesModel:
 def train_naive_bayes(texts: DataFrame) -> BayesModel:
     """Fit on ``(texto, etiqueta)``.
 
-    Priors are unsmoothed; a term of a class weighs ``ln((n + 1) / (T + V))`` and a vocabulary
+    The texts are read once: the counts per class and term are written and the model is derived
+    from them. Priors are unsmoothed; a term of a class weighs ``ln((n + 1) / (T + V))`` and a vocabulary
     term the class never showed ``ln(1 / (T + V))``. Fewer than two classes raise an error when
     the model is read.
     """
     counted = term_counts(texts, F.col("texto"), "etiqueta")
-    counts = (
+    counts = materialize(
         counted.select("etiqueta", F.inline("terms"))
         .groupBy("etiqueta", "termino")
-        .agg(F.sum("tf").alias("n"))
+        .agg(F.sum("tf").alias("n")),
+        "conteos",
     )
     labels = texts.groupBy("etiqueta").agg(F.count("*").alias("n_docs"))
     total = labels.agg(F.sum("n_docs")).scalar()
@@ -183,10 +186,11 @@ def _shuffled_position(key: str, seed: int) -> Column:
     return F.concat(F.md5(F.concat(F.lit(f"{seed}|"), text)), F.lit("|"), text)
 
 
-def _cut_position(keys: DataFrame, key: str, seed: int, share: float) -> Column:
+def _cut_position(keys: DataFrame, key: str, seed: int, share: float) -> str | None:
     """The shuffled position up to which ``int(n * share)`` of the distinct keys lie.
 
     Keys are counted in about a million hash buckets; only the bucket the cut falls in is ranked.
+    The result is one value, so the split itself is a comparison with a constant.
     """
     placed = keys.select(_shuffled_position(key, seed).alias("_at")).withColumn(
         "_bucket", F.substring("_at", 1, 5)
@@ -196,21 +200,20 @@ def _cut_position(keys: DataFrame, key: str, seed: int, share: float) -> Column:
     cut = F.floor(sizes.agg(F.sum("_size")).scalar() * F.lit(share)).cast("bigint")
     place = (
         sizes.withColumn("_upto", F.sum("_size").over(running))
-        .filter(F.col("_upto") >= cut)
-        .filter(F.col("_upto") - F.col("_size") < cut)
+        .filter((F.col("_upto") >= cut) & (F.col("_upto") - F.col("_size") < cut))
         .select("_bucket", (cut - (F.col("_upto") - F.col("_size"))).alias("_rank"))
-    )
-    inside = placed.filter(F.col("_bucket") == place.select("_bucket").scalar()).withColumn(
+    ).head()
+    if place is None:
+        return None
+    inside = placed.filter(F.col("_bucket") == place["_bucket"]).withColumn(
         "_n", F.row_number().over(Window.orderBy("_at"))
     )
-    return (
-        inside.filter(F.col("_n") == place.select("_rank").scalar()).agg(F.max("_at")).scalar()
-    )
+    return inside.filter(F.col("_n") == place["_rank"]).head()["_at"]
 
 
 def _split(df: DataFrame, keys: DataFrame, key: str, seed: int, share: float) -> DataFrame:
     cut = _cut_position(keys, key, seed, share)
-    in_train = F.coalesce(_shuffled_position(key, seed) <= cut, F.lit(False))
+    in_train = F.lit(False) if cut is None else _shuffled_position(key, seed) <= cut
     return df.withColumn("particion", F.when(in_train, TRAIN).otherwise(TEST))
 
 

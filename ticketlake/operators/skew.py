@@ -82,3 +82,14 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [name for name in df.columns if name not in columns]
     fields = [expression.alias(name) for name, expression in columns.items()]
     return df.select(*kept, F.inline(F.array(F.struct(*fields))))
+
+
+def spread_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Hand the rows of a small table to all cores.
+
+    A small table is often one file block, which a single task reads; costly text work would then
+    run on one core. Larger tables come in many blocks and are left as they are.
+    """
+    if not within_budget(df.select(F.lit(1)), max_rows):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -31,6 +31,7 @@ from ticketlake.operators import (
     rules,
     tfidf,
 )
+from ticketlake.operators.skew import spread_small
 from ticketlake.plans.views import view
 from ticketlake.schemas import TICKET_COLUMNS
 from ticketlake.session import materialize
@@ -68,7 +69,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RENDERED:
         rendered = view(spark, sf_dir, "tickets_crudos").drop("k")
-        _RENDERED[key] = materialize(rendered, "tickets_crudos")
+        _RENDERED[key] = materialize(spread_small(rendered), "tickets_crudos")
     return _RENDERED[key]
 
 

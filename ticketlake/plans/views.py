@@ -11,11 +11,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketlake.operators.skew import spread_small
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: Tables whose long texts are costly to process.
+TEXT_TABLES = ("documents", "pages")
+
 _DAY = "CAST(o_orderdate AS DATE)"
 
 
@@ -279,7 +284,8 @@ def names_in(sql: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
