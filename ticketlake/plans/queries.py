@@ -32,7 +32,7 @@ from ticketlake.operators import (
     tfidf,
 )
 from ticketlake.operators.skew import spread_small
-from ticketlake.plans.views import view
+from ticketlake.plans.views import VIEWS, view
 from ticketlake.schemas import TICKET_COLUMNS
 from ticketlake.session import materialize
 from ticketlake.sources.documents import reference_cases
@@ -68,7 +68,8 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hand-written history: an input of the cleaning queries, rendered once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RENDERED:
-        rendered = view(spark, sf_dir, "tickets_crudos").drop("k")
+        captures = materialize(spread_small(view(spark, sf_dir, "capturas")), "capturas")
+        rendered = spark.sql(VIEWS["tickets_crudos"], capturas=captures).drop("k")
         _RENDERED[key] = materialize(spread_small(rendered), "tickets_crudos")
     return _RENDERED[key]
 

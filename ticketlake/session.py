@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job wants. AQE coalesces small shuffle partitions and splits skewed join
-#: partitions; UTC keeps naive timestamps stable across machines.
+#: partitions; UTC keeps naive timestamps stable across machines. Generated methods over 8000 bytes
+#: are never compiled by the JVM, so stages that wide use the split, compilable form instead.
 JOB_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
