@@ -188,7 +188,7 @@ def run(stream, folder, name):
         .option("checkpointLocation", str(folder / f"{name}-ck")).option("path", str(folder / name))
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    assert query.awaitTermination(120)
     return str(folder / name)
 
 

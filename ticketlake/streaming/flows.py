@@ -21,7 +21,8 @@ def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minu
     ``late`` are dropped from this view (the batch tables keep them).
     """
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", width), "operacion")
         .agg(
             F.count("*").alias("llamadas"),

@@ -75,21 +75,25 @@ def idempotent_intake(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFra
     """Outcome of every reserve event of a stream.
 
     Events without a key carry no state: each gets a key of its own instead of sharing one.
-    Needs the RocksDB state store (``ROCKSDB_CONF``).
+    Needs the RocksDB state store and this package on the workers' path. With a time to live, run
+    it continuously, or without empty batches, which would otherwise repeat to expire state
+    (both settings are in ``STATE_CONF``).
     """
-    own_key = F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
-    keyed = events.select(
-        "seq", "accion", F.coalesce("clave", own_key).alias("_key"), "huella", "codigo"
-    ).filter(~((F.col("accion") != RESERVE) & F.col("_key").startswith("\u0000")))
+    with_key = F.concat(F.lit("k:"), F.col("clave"))
+    own_key = F.concat(F.lit("n:"), F.col("seq").cast("string"))
+    keyed = events.filter(F.col("clave").isNotNull() | (F.col("accion") == RESERVE)).select(
+        "seq", "accion", F.coalesce(with_key, own_key).alias("_key"), "huella", "codigo"
+    )
     answers = keyed.groupBy("_key").transformWithStateInPandas(
         IntakeProcessor(ttl_ms), OUTPUT, "append", "processingTime" if ttl_ms else "none"
     )
     return answers.withColumn(
-        "clave", F.when(~F.col("clave").startswith("\u0000"), F.col("clave"))
+        "clave", F.when(F.col("clave").startswith("k:"), F.expr("substring(clave, 3)"))
     )
 
 
-ROCKSDB_CONF = {
+STATE_CONF = {
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
