@@ -47,6 +47,7 @@ class Cleaning:
     """Outcome of a cleaning run; every member is a lazy frame."""
 
     clean: DataFrame
+    duplicates: DataFrame
     quarantine: DataFrame
     report: DataFrame
 
@@ -300,7 +301,7 @@ def clean_history(raw: DataFrame) -> Cleaning:
     checked = materialize(check_tickets(raw), "revisados")
     clean, duplicates = deduplicate(_typed_tickets(checked))
     quarantine = _validation_rejects(checked).unionByName(duplicates)
-    return Cleaning(clean, quarantine, quality_report(checked, quarantine))
+    return Cleaning(clean, duplicates, quarantine, quality_report(checked, quarantine))
 
 
 def default_counters(checked: DataFrame) -> DataFrame:

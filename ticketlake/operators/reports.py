@@ -10,7 +10,7 @@ from ticketlake.functions.catalogs import OPEN_STATES, priority_rank
 from ticketlake.functions.dates import month_bounds, report_dates
 from ticketlake.functions.ratios import percent
 from ticketlake.functions.text import strip, text_or_empty
-from ticketlake.operators.skew import settled
+from ticketlake.operators.skew import hot_keys, salted_join, settled
 
 CLOSED = "Cerrado"
 REOPENED = "Reabierto"
@@ -63,10 +63,17 @@ def ticket_detail(
         F.col("correo").alias("correo_solicitante"),
         F.col("id_area").alias("area_usuario"),
     ).join(asking, "area_usuario")
+    # One requester may have opened a large share of all tickets.
+    frequent = open_tickets.groupBy("id_usuario").agg(F.count("*").alias("n"))
+    with_requester = salted_join(
+        open_tickets.join(serving, "id_area"),
+        requesters,
+        "id_usuario",
+        hot_keys(frequent, "id_usuario", "n"),
+        ["id_ticket"],
+    )
     return (
-        open_tickets.join(serving, "id_area")
-        .join(requesters, "id_usuario")
-        .select(
+        with_requester.select(
             F.col("codigo").alias("ticket"),
             "estado",
             "prioridad",

@@ -69,8 +69,8 @@ def top_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> Dat
 
 
 def within_budget(df: DataFrame, max_rows: int) -> bool:
-    """Whether a frame has at most ``max_rows`` rows; reads no more than it needs to know."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether a frame has at most ``max_rows`` rows, by a distributed count."""
+    return df.count() <= max_rows
 
 
 def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -84,12 +84,18 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*fields))))
 
 
-def spread_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hand the rows of a small table to all cores.
+def is_small_scan(df: DataFrame, max_parts: int = 64) -> bool:
+    """Whether a scan has fewer parts than there are cores; several gigabytes never do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.rdd.getNumPartitions() < min(cores, max_parts)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Hand the rows of a small scan to all cores.
 
     A small table is often one file block, which a single task reads; costly text work would then
-    run on one core. Larger tables come in many blocks and are left as they are.
+    run on one core. Scans of many parts are left as they are.
     """
-    if not within_budget(df.select(F.lit(1)), max_rows):
+    if not is_small_scan(df):
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

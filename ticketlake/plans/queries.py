@@ -31,7 +31,7 @@ from ticketlake.operators import (
     rules,
     tfidf,
 )
-from ticketlake.operators.skew import spread_small
+from ticketlake.operators.skew import is_small_scan
 from ticketlake.plans.views import VIEWS, view
 from ticketlake.schemas import TICKET_COLUMNS
 from ticketlake.session import materialize
@@ -68,9 +68,12 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hand-written history: an input of the cleaning queries, rendered once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RENDERED:
-        captures = materialize(spread_small(view(spark, sf_dir, "capturas")), "capturas")
-        rendered = spark.sql(VIEWS["tickets_crudos"], capturas=captures).drop("k")
-        _RENDERED[key] = materialize(spread_small(rendered), "tickets_crudos")
+        captures = view(spark, sf_dir, "capturas")
+        written = materialize(captures, "capturas")
+        rendered = spark.sql(VIEWS["tickets_crudos"], capturas=written).drop("k")
+        if is_small_scan(captures):
+            rendered = rendered.repartition(spark.sparkContext.defaultParallelism)
+        _RENDERED[key] = materialize(rendered, "tickets_crudos")
     return _RENDERED[key]
 
 
@@ -156,8 +159,7 @@ def w1_dedup_clean(spark, sf_dir):
 
 @query
 def w1_dedup_quarantine(spark, sf_dir):
-    valid, _ = clean.validate_tickets(_raw(spark, sf_dir))
-    _, rejects = clean.deduplicate(valid)
+    rejects = clean.clean_history(_raw(spark, sf_dir)).duplicates
     stored = [
         F.col("fila_original")[name].alias(f"fila_{name}")
         for name in ("id", "categoria", "solicitante", "fecha_cierre")
