@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketlake.llm import near_dedup
+from ticketlake.llm import near_dedup, quality, toxicity
 from ticketlake.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,18 @@ def query(fn: Query) -> Query:
 @query
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_quality_pu(spark, sf_dir):
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.score_documents(docs, quality.fit(docs, labels))
+
+
+@query
+def op7_toxic_segments(spark, sf_dir):
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages")
+    )
