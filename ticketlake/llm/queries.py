@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ticketlake.llm import near_dedup, quality, toxicity
-from ticketlake.llm.common import read_table
+from ticketlake.llm import (
+    chunk_dedup,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    toxicity,
+)
+from ticketlake.llm.common import read_table, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,9 +28,8 @@ def query(fn: Query) -> Query:
     return fn
 
 
-@query
-def op8_minhash_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+def _of(kind: str):
+    return lambda span: span["kind"] == kind
 
 
 @query
@@ -30,6 +38,40 @@ def op1_quality_pu(spark, sf_dir):
     return quality.score_documents(docs, quality.fit(docs, labels))
 
 
+@query
+def op2_hierarchical_mix(spark, sf_dir):
+    documents = settle(mixing.leveled(read_table(spark, sf_dir, "documents")))
+    return mixing.select_documents(documents)
+
+
+@query
+def op3_gear_chunks(spark, sf_dir):
+    return chunk_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_template_automata(spark, sf_dir):
+    found = licenses.scan_documents(read_table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct(F.transform("base", lambda p: p["label"])))
+    own = F.transform("templates", lambda p: p["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda p: p["word"])).alias("first_word"),
+        F.array_max(F.transform("base", lambda p: p["word"])).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        # A license whose mandatory wording is all there is certain; a bare phrase is half a sign.
+        F.when(F.size("templates") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+@query
+def op6_dominance_best_fit(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_toxic_segments(spark, sf_dir):
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -37,3 +79,29 @@ def op7_toxic_segments(spark, sf_dir):
     return scored.select(
         "doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages")
     )
+
+
+@query
+def op8_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_offset_deobfuscation(spark, sf_dir):
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    counts = [
+        F.size(F.filter("base", _of(kind))).cast("long").alias(f"n_{kind}")
+        for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
