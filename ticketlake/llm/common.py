@@ -27,16 +27,23 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(fold == 0, F.lit(False))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: ends the lineage and survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a session without one (a test on a
-    single machine) gets a folder of its own.
+    Only a session without that setting (a test on a single machine) gets a folder of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: ends the lineage and survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

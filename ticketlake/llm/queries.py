@@ -11,6 +11,8 @@ from ticketlake.llm import (
     licenses,
     mixing,
     near_dedup,
+    order_minhash,
+    outliers,
     packing,
     pii,
     quality,
@@ -67,6 +69,11 @@ def op4_template_automata(spark, sf_dir):
     )
 
 
+@query
+def op5_order_minhash(spark, sf_dir):
+    return order_minhash.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_dominance_best_fit(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
@@ -86,6 +93,11 @@ def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_mcd_outliers(spark, sf_dir):
+    return outliers.judge_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_offset_deobfuscation(spark, sf_dir):
     found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
