@@ -9,7 +9,7 @@ joined to spans, and spans of ``MIN_SPAN`` characters or more are reported, so t
 collision and no common phrase counts.
 
 Defined results: null and empty texts have no chunks and no spans; rows with a null doc_id take no
-part; rows that repeat a doc_id count as one document with both texts' chunks; runs without a cut
+part; rows that repeat a doc_id count as one document with both texts' chunks, equal ones once; runs without a cut
 are cut every ``MAX_CHUNK`` bytes; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -104,7 +104,9 @@ def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
         .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("_first"))
     )
     repeats = each.join(firsts, "digest").filter("doc_id <> first_doc_id or start <> _first")
-    along = Window.partitionBy("doc_id").orderBy("start", "end")
+    along = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id")
+    again = (F.lag("start").over(along) == F.col("start")) & (F.lag("end").over(along) == F.col("end"))
+    repeats = repeats.withColumn("_again", F.coalesce(again, F.lit(False))).filter("not _again")
     begins = F.coalesce(F.lag("end").over(along) != F.col("start"), F.lit(True)).cast("int")
     numbered = repeats.withColumn("_new", begins).withColumn("_span", F.sum("_new").over(along))
     return (

@@ -147,7 +147,8 @@ def with_signatures(df: DataFrame, signatures: dict[str, Column], k: int = K) ->
             first = F.coalesce(slot(F.get(t, i - 1)) != slot(x), lit(True))
             return F.when(first, (F.shiftleft(slot(x), _VALUE_BITS) + low).cast("long") - (1 << 31))
 
-        return F.transform(F.filter(F.transform(t, value), lambda x: x.isNotNull()), lambda x: F.coalesce(x, lit(0)).cast("int"))
+        filled = F.filter(F.transform(t, value), lambda x: x.isNotNull())
+        return F.sort_array(F.transform(filled, lambda x: F.coalesce(x, lit(0)).cast("int")))
 
     out = step(out, lambda p: {"values": values(p)})
     return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_{n}_values").alias(n) for n in names])

@@ -11,6 +11,7 @@ from ticketlake.llm import (
     licenses,
     mixing,
     near_dedup,
+    oracle,
     order_minhash,
     outliers,
     packing,
@@ -22,7 +23,10 @@ from ticketlake.llm.common import read_table, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_hierarchical_mix": oracle.mixing_sql(),
+    "op8_minhash_near_dedup": oracle.NEAR_DUPLICATES,
+}
 
 
 def query(fn: Query) -> Query:
