@@ -5,11 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-# Stateful streams run this package inside worker processes.
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
 from ticketlake.session import local_session  # noqa: E402
-from ticketlake.streaming.intake import STATE_CONF  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -17,8 +14,6 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", 8)
-    for key, value in STATE_CONF.items():
-        session.conf.set(key, value)
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -206,7 +206,8 @@ def test_catalogs(spark):
         df = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], f"i int, {name} string")
         got = standardize_catalogs(df, {"v": name}).orderBy("i").collect()
         assert [(r.v.valor, r.v.motivo) for r in got] == [(r[2], r[3]) for r in rows]
-        assert [canonical(name, r[1]) for r in rows] == [r[2] for r in rows]
+        folded = spark.sql("SELECT 1").select(*[canonical(name, F.lit(r[1])).alias(f"c{i}") for i, r in enumerate(rows)])
+        assert list(folded.first()) == [r[2] for r in rows]
 
 
 def test_reopens(spark):

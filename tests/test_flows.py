@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions.citations import fingerprint, idempotency_key
 from ticketlake.operators import intake, metrics, reminders, reports, requests
-from ticketlake.operators.clean import clean_history, validate_tickets
+from ticketlake.operators.clean import clean_history
 from ticketlake.schemas import INTAKE_EVENT
+from ticketlake.session import shared_folder
 from ticketlake.sources import documents, tickets
 from ticketlake.streaming.flows import (
     classify_batches,
+    clean_so_far,
+    late_events,
     rolling_latency,
     send_reminders,
-    settle_duplicates,
     stream_clean,
     window_counts,
 )
@@ -58,14 +60,70 @@ def test_csv_round_trip(spark, tmp_path):
         tickets.read_tickets(spark, str(tmp_path / "nada.csv"))
 
 
-def test_row_numbers_per_file(spark, tmp_path):
+def test_row_numbers_over_files(spark, tmp_path):
     for name, n in (("a", 5), ("b", 3)):
         rows = "\n".join(f"{name}{i},,,,,,,,,,," for i in range(1, n + 1))
         (tmp_path / f"{name}.csv").write_text(f"{HEADER}\n{rows}\n")
     got = tickets.read_tickets(spark, str(tmp_path)).collect()
-    assert {r.id: r._row for r in got} == {
+    assert {r.id: r._line for r in got} == {
         **{f"a{i}": i for i in range(1, 6)}, **{f"b{i}": i for i in range(1, 4)},
     }
+    assert [r.id for r in sorted(got, key=lambda r: r._row)] == [f"a{i}" for i in range(1, 6)] + ["b1", "b2", "b3"]
+    assert sorted(r._row for r in got) == list(range(1, 9))
+
+
+def test_splits_of_one_file(spark, tmp_path):
+    rows = "\n".join(f"t{i},,,,,,,,,,,{'x' * 30}" for i in range(3000))
+    (tmp_path / "grande.csv").write_text(f"{HEADER}\n{rows}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = tickets.read_tickets(spark, str(tmp_path), multi_line=False)
+        assert tickets._csv(spark, str(tmp_path), False).rdd.getNumPartitions() > 3
+        assert {r.id: r._row for r in got.collect()} == {f"t{i}": i + 1 for i in range(3000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_same_ticket_in_two_files(spark, tmp_path):
+    line = "A,2025-03-08,,Compras,Red,Alta,correo,ana,x,y,Abierto,0"
+    for name in ("uno", "dos"):
+        (tmp_path / f"{name}.csv").write_text(f"{HEADER}\n{line}\n")
+    result = clean_history(tickets.read_tickets(spark, str(tmp_path)))
+    assert (result.clean.count(), result.duplicates.count()) == (1, 1)
+    assert result.duplicates.head().motivo == "duplicado_exacto"
+
+
+def test_header_by_name(spark, tmp_path):
+    names = HEADER.split(",")
+    values = dict(zip(names, "A,2025-03-08,,Compras,Red,Alta,correo,ana,x,y,Abierto,0".split(",")))
+    orders = [names, names[::-1], ["extra", *names[2:], names[0], names[1]], [n for n in names if n != "canal"]]
+    for k, order in enumerate(orders):
+        cells = [f"{values.get(n, 'sobra')}" if n != "id" else f"T{k}" for n in order]
+        (tmp_path / f"f{k}.csv").write_text("\ufeff" * (k % 2) + ",".join(order) + "\n" + ",".join(cells) + "\n", encoding="utf-8")
+    rows = sorted(tickets.read_tickets(spark, str(tmp_path)).collect(), key=lambda r: r.id)
+    assert [r.id for r in rows] == ["T0", "T1", "T2", "T3"]
+    for r in rows:
+        assert (r.fecha_creacion, r.estado, r.descripcion, r.reaperturas) == ("2025-03-08", "Abierto", "y", "0")
+        assert r.canal == (None if r.id == "T3" else "correo")
+
+
+def test_repeated_row_numbers_are_an_error(spark):
+    source = raw(spark, STRESS)
+    with pytest.raises(ValueError, match="more than once"):
+        clean_history(source.unionByName(source.limit(1)))
+
+
+def test_shared_folder_is_required():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
 
 
 def test_document_sources(spark, tmp_path):
@@ -76,10 +134,17 @@ def test_document_sources(spark, tmp_path):
     rows = {r.file_name: r.text for r in documents.read_policy_texts(spark, str(folder)).collect()}
     assert rows == {"uno": "1. Título\ncon tabulador", "roto": None}
     log = tmp_path / "log.json"
-    log.write_text('{"momento":"t","evento":"e","texto":"privado"}\n{roto\n')
-    events = metrics.redact_events(documents.read_event_log(spark, str(log))).collect()
+    log.write_text(
+        '{"momento":"t","evento":"e","texto":"privado","latencia_ms":12.5,"operacion":"x","d":{"a":[1]}}\n{roto\n'
+    )
+    read = documents.read_event_log(spark, str(log))
+    events = metrics.redact_events(read).collect()
     assert events[0].texto == metrics.REDACTED and events[0].evento == "e"
+    assert events[0].extras == {"latencia_ms": "12.5", "operacion": "x", "d": '{"a":[1]}'}
     assert events[1]["_roto"] == "{roto"
+    documents.write_event_log(read.filter("_roto is null"), str(tmp_path / "log-fuera"))
+    again = documents.read_event_log(spark, str(tmp_path / "log-fuera")).head()
+    assert again.texto == metrics.REDACTED and again.extras == events[0].extras and again.modulo is None
     cases = tmp_path / "casos.csv"
     cases.write_text(
         "id_caso,pregunta_o_texto,respuesta_o_categoria_esperada,documento_fuente,seccion_fuente,observacion\n"
@@ -182,14 +247,30 @@ def test_intake_replay(spark, block):
     assert sorted((r.seq, r.estado, r.codigo) for r in got) == intake_fold(rows)
 
 
-def run(stream, folder, name):
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", str(folder / f"{name}-ck")).option("path", str(folder / name))
-        .trigger(availableNow=True).start()
-    )
-    assert query.awaitTermination(120)
-    return str(folder / name)
+def test_one_key_log_in_tree(spark, monkeypatch):
+    """All events on one key, in blocks of one event, folded two at a time."""
+    monkeypatch.setattr(intake, "FANOUT", 2)
+    rows = [(seq, ts, action, "HOT", h, code) for seq, ts, action, _, h, code in intake_log(40)]
+    got = intake.replay_intake(spark.createDataFrame(rows, INTAKE_EVENT), 5).collect()
+    assert sorted((r.seq, r.estado, r.codigo) for r in got) == intake_fold(rows)
+
+
+def test_complete_without_code_changes_nothing(spark):
+    at = datetime(2025, 1, 1)
+    rows = [(1, at, "reservar", "k", "h", None), (2, at, "completar", "k", None, None),
+            (3, at, "reservar", "k", "h", None)]
+    got = intake.replay_intake(spark.createDataFrame(rows, INTAKE_EVENT)).orderBy("seq").collect()
+    assert [r.estado for r in got] == ["nueva", "en_curso"]
+
+
+def test_states_after(spark):
+    rows = intake_log(200)
+    frame = lambda part: spark.createDataFrame(part, INTAKE_EVENT)
+    half = intake.states_after(frame(rows[:90]), 11)
+    rest = intake.replay_intake(frame(rows[90:]), 13, half)
+    assert sorted((r.seq, r.estado, r.codigo) for r in rest.collect()) == [
+        r for r in intake_fold(rows) if r[0] >= 90
+    ]
 
 
 def test_intake_stream(spark, tmp_path):
@@ -199,12 +280,28 @@ def test_intake_stream(spark, tmp_path):
         chunk = spark.createDataFrame(rows[part * 40 : (part + 1) * 40], INTAKE_EVENT)
         chunk.coalesce(1).write.mode("append").parquet(source)
         events = spark.readStream.schema(INTAKE_EVENT).parquet(source)
-        out = run(idempotent_intake(events), tmp_path, "salida")
-    got = spark.read.parquet(out).collect()
+        idempotent_intake(
+            events, str(tmp_path / "salida"), str(tmp_path / "estado"), str(tmp_path / "ck"), block=9
+        ).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "salida")).collect()
     assert sorted((r.seq, r.estado, r.codigo) for r in got) == intake_fold(rows)
     assert {r.seq for r in got if r.clave is None} == {r[0] for r in rows if r[3] is None and r[2] == "reservar"}
 
 
+def test_late_events(spark, tmp_path):
+    schema = "seq long, ts timestamp, operacion string"
+    parts = [[(1, datetime(2025, 1, 1, 10)), (2, datetime(2025, 1, 1, 13))],
+             [(3, datetime(2025, 1, 1, 10, 30)), (4, datetime(2025, 1, 1, 12, 55)), (5, datetime(2025, 1, 1, 14))]]
+    for part in parts:
+        rows = [(seq, ts, "a") for seq, ts in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "eventos"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "eventos"))
+        late_events(
+            stream, str(tmp_path / "tardios"), str(tmp_path / "estado"), str(tmp_path / "ck")
+        ).awaitTermination()
+    assert [r.seq for r in spark.read.parquet(str(tmp_path / "tardios")).collect()] == [3]
+
+
 def test_metric_streams(spark, tmp_path, sf_dir):
     from ticketlake.plans.views import view
 
@@ -230,19 +327,22 @@ def test_metric_streams(spark, tmp_path, sf_dir):
 
 def test_cleaning_stream_equals_batch(spark, tmp_path):
     source = raw(spark, STRESS)
-    source.repartition(4).write.parquet(str(tmp_path / "crudo"))
-    stream = (
-        spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "crudo"))
-    )
-    stream_clean(
-        stream, str(tmp_path / "validos"), str(tmp_path / "rechazos"), str(tmp_path / "ck")
-    ).awaitTermination()
-    valid, rejects = validate_tickets(source)
-    stored = spark.read.parquet(str(tmp_path / "validos")).drop("lote")
-    assert sorted(map(repr, stored.collect())) == sorted(map(repr, valid.collect()))
-    assert spark.read.parquet(str(tmp_path / "rechazos")).count() == rejects.count()
-    kept, duplicates = settle_duplicates(stored)
-    assert (kept.count(), duplicates.count()) == (22, 3)
+    parts = 4
+    ordered = source.orderBy("_row").collect()
+    size = -(-len(ordered) // parts)
+    for part in range(parts):
+        rows = ordered[part * size : (part + 1) * size]
+        spark.createDataFrame(rows, source.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "crudo"))
+        stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "crudo"))
+        stream_clean(
+            stream, str(tmp_path / "limpios"), str(tmp_path / "rechazos"), str(tmp_path / "ck")
+        ).awaitTermination()
+    batch = clean_history(source)
+    kept = clean_so_far(spark, str(tmp_path / "limpios"), parts - 1)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, batch.clean.collect()))
+    columns = ["numero_de_fila", "motivo", "detalle", "numero_fila_descartada"]
+    rejects = spark.read.parquet(str(tmp_path / "rechazos")).select(columns)
+    assert sorted(map(repr, rejects.collect())) == sorted(map(repr, batch.quarantine.select(columns).collect()))
 
 
 def test_classification_batches(spark, tmp_path):

@@ -114,14 +114,10 @@ def canonical_column(name: str, col: Column) -> Column:
     return lookup(name, search_key(col))
 
 
-def canonical(name: str, value: str) -> str | None:
-    """Canonical form of one parameter value (a filter), or None when it is not in the catalog."""
-    from ticketlake.functions.plain import plain_search_key
-
-    key = plain_search_key(value)
-    if name == "categoria" and key in NO_CATEGORY:
-        return None
-    return CATALOGS[name].get(key)
+def canonical(name: str, value: Column) -> Column:
+    """Canonical form of one parameter value, null when it names no catalog entry; a constant."""
+    key = search_key(value)
+    return F.when(~_is_blank(name, key), lookup(name, key))
 
 
 def priority_rank(col: Column) -> Column:

@@ -32,9 +32,12 @@ TOKEN = "[a-z0-9]{2,}"
 
 
 def _accent_table() -> tuple[str, str]:
-    """Precomposed letters and their base letter, derived from Unicode decompositions."""
+    """Precomposed letters and their base letter, derived from Unicode decompositions.
+
+    No plane beyond the third holds a character with a decomposition.
+    """
     source, target = [], []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x40000):
         char = chr(code)
         if 0xD800 <= code <= 0xDFFF or unicodedata.category(char) == "Mn":
             continue

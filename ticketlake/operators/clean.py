@@ -34,8 +34,29 @@ BAD_REOPENS = "reaperturas_no_numericas"
 EXACT_DUPLICATE = "duplicado_exacto"
 CONFLICTING_DUPLICATE = "duplicado_con_contenido_en_conflicto"
 MAX_QUARANTINE_PCT = 10.0
+# Details of rejects and names of the report's lines.
+NO_ID_DETAIL = "la fila no trae identificador de ticket"
+NO_CREATION_DETAIL = "sin fecha de creación"
+NO_STATE_DETAIL = "sin estado"
+CLOSE_DETAIL = ("cierre ", " anterior a creación ")
+EXACT_DETAIL = ("repite exactamente al ticket ", " ya procesado")
+CONFLICT_DETAIL = (
+    "mismo id ",
+    " con contenido distinto; se conservó la captura más completa y esta se aparta para revisión",
+)
+APPLIED_DEFAULTS = {
+    "area": "area → Sin área",
+    "categoria": "categoria → Sin clasificar",
+    "prioridad": "prioridad ausente",
+    "canal": "canal ausente",
+}
 CATALOG_MOTIVES = (BAD_STATE, BAD_PRIORITY, BAD_CHANNEL, BAD_CATEGORY, "valor_fuera_de_catalogo")
 
+#: Clean tickets with their row numbers, as a table schema.
+CLEAN_ROWS = "_row long, " + ", ".join(
+    f"{name} {({'fecha_creacion': 'date', 'fecha_cierre': 'date', 'reaperturas': 'long'}).get(name, 'string')}"
+    for name in TICKET_COLUMNS
+)
 CONTENT = tuple(name for name in TICKET_COLUMNS if name != "id")
 QUARANTINE_COLUMNS = (
     "numero_de_fila", "motivo", "detalle", "fila_original", "numero_fila_descartada",
@@ -44,7 +65,7 @@ QUARANTINE_COLUMNS = (
 
 @dataclass(frozen=True)
 class Cleaning:
-    """Outcome of a cleaning run; every member is a lazy frame."""
+    """Outcome of a cleaning run: frames over judged rows that are already written."""
 
     clean: DataFrame
     duplicates: DataFrame
@@ -94,11 +115,11 @@ def _first_failure() -> tuple[Column, Column]:
     created, closed = creation["valor"], closing["valor"]
     state = F.col("_estado")
     checks = [
-        (F.col("_id") == "", MISSING_ID, F.lit("la fila no trae identificador de ticket")),
+        (F.col("_id") == "", MISSING_ID, F.lit(NO_ID_DETAIL)),
         (
             created.isNull() & creation["motivo"].isNull(),
             MISSING_CREATION,
-            F.lit("sin fecha de creación"),
+            F.lit(NO_CREATION_DETAIL),
         ),
         (creation["motivo"].isNotNull(), BAD_CREATION, creation["motivo"]),
         (closing["motivo"].isNotNull(), BAD_CLOSE, closing["motivo"]),
@@ -106,11 +127,11 @@ def _first_failure() -> tuple[Column, Column]:
             closed < created,
             CLOSE_BEFORE_CREATION,
             F.concat(
-                F.lit("cierre "), closed.cast("string"),
-                F.lit(" anterior a creación "), created.cast("string"),
+                F.lit(CLOSE_DETAIL[0]), closed.cast("string"),
+                F.lit(CLOSE_DETAIL[1]), created.cast("string"),
             ),
         ),
-        (state["valor"].isNull() & state["motivo"].isNull(), MISSING_STATE, F.lit("sin estado")),
+        (state["valor"].isNull() & state["motivo"].isNull(), MISSING_STATE, F.lit(NO_STATE_DETAIL)),
         (state["motivo"].isNotNull(), BAD_STATE, _quoted("estado")),
         (F.col("_prioridad")["motivo"].isNotNull(), BAD_PRIORITY, _quoted("prioridad")),
         (F.col("_canal")["motivo"].isNotNull(), BAD_CHANNEL, _quoted("canal")),
@@ -159,21 +180,21 @@ def check_tickets(raw: DataFrame) -> DataFrame:
         F.col("_estado")["valor"].alias("estado"),
         F.col("_reaperturas").alias("reaperturas"),
     )
-    labels = {
-        "area → Sin área": strip(text_or_empty(F.col("area"))) == "",
-        "categoria → Sin clasificar": F.col("categoria").isNull(),
-        "prioridad ausente": F.col("prioridad").isNull(),
-        "canal ausente": F.col("canal").isNull(),
+    blank = {
+        "area": strip(text_or_empty(F.col("area"))) == "",
+        **{name: F.col(name).isNull() for name in ("categoria", "prioridad", "canal")},
     }
-    applied = F.array(*[F.when(valid & flag, F.lit(name)) for name, flag in labels.items()])
+    applied = F.array(
+        *[F.when(valid & blank[name], F.lit(label)) for name, label in APPLIED_DEFAULTS.items()]
+    )
     return apply_defaults(kept.withColumn("por_defecto", F.array_compact(applied)))
 
 
-def _typed_tickets(checked: DataFrame) -> DataFrame:
+def typed_tickets(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("motivo").isNull()).select("_row", *TICKET_COLUMNS)
 
 
-def _validation_rejects(checked: DataFrame) -> DataFrame:
+def validation_rejects(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("motivo").isNotNull()).select(
         F.col("_row").alias("numero_de_fila"),
         "motivo",
@@ -186,7 +207,7 @@ def _validation_rejects(checked: DataFrame) -> DataFrame:
 def validate_tickets(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split raw rows into valid typed tickets (with ``_row``) and quarantine records."""
     checked = check_tickets(raw)
-    return _typed_tickets(checked), _validation_rejects(checked)
+    return typed_tickets(checked), validation_rejects(checked)
 
 
 def _completeness() -> Column:
@@ -206,23 +227,27 @@ def _completeness() -> Column:
 def mark_duplicates(valid: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Valid tickets plus ``motivo`` (null = survives) and ``numero_de_fila`` of the record.
 
-    Per id, in row order, a row is compared with the one kept so far: same content makes it an
-    exact duplicate; otherwise the more complete of the two stays (a tie keeps the earlier) and
-    the loser is a conflict, filed under the number of the later row.
+    ``_row`` must be unique; it orders the rows. Per id, in row order, a row is compared with the
+    one kept so far: same content makes it an exact duplicate; otherwise the more complete of the
+    two stays (a tie keeps the earlier) and the loser is a conflict, filed under the number of the
+    later row. Content is compared by two independent 64-bit hashes, so two different captures of
+    one id pass for the same with a probability of about 2**-128 per pair.
 
     The row kept so far is always the first row of the highest completeness level seen, and there
     are seven levels. So one partial-aggregated pass finds the first row of every (id, level), a
-    ladder of at most seven entries per id, and each row settles its fate against its own
-    ladder. No task ever holds all rows of an id, and only ids with duplicates get a ladder.
+    ladder of at most seven entries per id, and each row settles its fate against its own ladder.
+    No task ever holds all rows of an id, and only ids with duplicates get a ladder. What meets by
+    id are row numbers, levels and hashes; the tickets themselves only meet their verdicts, by
+    row number, which no skew can touch.
     """
-    scored = valid.withColumns(
-        {
-            "_score": _completeness(),
-            "_h1": F.xxhash64(*[text_or_empty(F.col(name)) for name in CONTENT]),
-            "_h2": F.xxhash64(
-                F.lit("content"), *[text_or_empty(F.col(name)) for name in reversed(CONTENT)]
-            ),
-        }
+    scored = valid.select(
+        "_row",
+        "id",
+        _completeness().alias("_score"),
+        F.xxhash64(*[text_or_empty(F.col(name)) for name in CONTENT]).alias("_h1"),
+        F.xxhash64(
+            F.lit("content"), *[text_or_empty(F.col(name)) for name in reversed(CONTENT)]
+        ).alias("_h2"),
     )
     levels = scored.groupBy("id", "_score").agg(
         F.min("_row").alias("_first"),
@@ -239,7 +264,7 @@ def mark_duplicates(valid: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         .filter(F.col("_n") > 1)
     )
     hot = hot_keys(ladders, "id", "_n", hot_rows)
-    joined = salted_join(scored, ladders.drop("_n"), "id", hot, ["_row"], "left")
+    joined = salted_join(scored, ladders.drop("_n"), "id", hot, ["_row"])
 
     earlier = F.filter("_ladder", lambda rung: rung["_first"] < F.col("_row"))
     best = F.array_max(
@@ -255,26 +280,28 @@ def mark_duplicates(valid: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     kept = settled(joined, {"_kept": best, "_next": displaced_by})
     never_kept = F.coalesce(F.col("_kept")["score"] >= F.col("_score"), F.lit(False))
     same = (F.col("_kept")["h1"] == F.col("_h1")) & (F.col("_kept")["h2"] == F.col("_h2"))
-    return kept.withColumns(
-        {
-            "motivo": F.when(never_kept & same, F.lit(EXACT_DUPLICATE)).when(
-                never_kept | F.col("_next").isNotNull(), F.lit(CONFLICTING_DUPLICATE)
-            ),
-            "numero_de_fila": F.when(never_kept, F.col("_row")).otherwise(F.col("_next")),
-        }
-    ).drop("_score", "_h1", "_h2", "_ladder", "_kept", "_next")
+    motive = F.when(never_kept & same, F.lit(EXACT_DUPLICATE)).when(
+        never_kept | F.col("_next").isNotNull(), F.lit(CONFLICTING_DUPLICATE)
+    )
+    verdicts = kept.select(
+        "_row",
+        motive.alias("motivo"),
+        F.when(never_kept, F.col("_row")).otherwise(F.col("_next")).alias("numero_de_fila"),
+    ).filter(F.col("motivo").isNotNull())
+    return valid.join(verdicts, "_row", "left")
 
 
-def _duplicate_rejects(marked: DataFrame) -> DataFrame:
-    exact = F.concat(
-        F.lit("repite exactamente al ticket "), F.col("id"), F.lit(" ya procesado")
-    )
-    conflict = F.concat(
-        F.lit("mismo id "), F.col("id"),
-        F.lit(
-            " con contenido distinto; se conservó la captura más completa "
-            "y esta se aparta para revisión"
-        ),
+def require_unique_rows(df: DataFrame) -> None:
+    """Raises if two rows share a ``_row``: the order of captures would not be defined."""
+    repeated = df.groupBy("_row").count().filter("count > 1").select("_row").head()
+    if repeated is not None:
+        raise ValueError(f"row number {repeated['_row']} occurs more than once")
+
+
+def duplicate_rejects(marked: DataFrame) -> DataFrame:
+    exact, conflict = (
+        F.concat(F.lit(before), F.col("id"), F.lit(after))
+        for before, after in (EXACT_DETAIL, CONFLICT_DETAIL)
     )
     return marked.filter(F.col("motivo").isNotNull()).select(
         "numero_de_fila",
@@ -289,18 +316,20 @@ def deduplicate(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One ticket per id, and the quarantine records of the others."""
     marked = mark_duplicates(valid)
     clean = marked.filter(F.col("motivo").isNull()).select("_row", *TICKET_COLUMNS)
-    return clean, _duplicate_rejects(marked)
+    return clean, duplicate_rejects(marked)
 
 
 def clean_history(raw: DataFrame) -> Cleaning:
     """Typed, validated and deduplicated tickets with quarantine and quality report.
 
     The judged rows are written once: the duplicate ladder, the surviving tickets, the quarantine
-    and the report all read that table instead of parsing the raw text again.
+    and the report all read that table instead of parsing the raw text again. That pass runs right
+    away, and so does the check that ``_row`` is unique.
     """
-    checked = materialize(check_tickets(raw), "revisados")
-    clean, duplicates = deduplicate(_typed_tickets(checked))
-    quarantine = _validation_rejects(checked).unionByName(duplicates)
+    checked = materialize(check_tickets(raw))
+    require_unique_rows(checked)
+    clean, duplicates = deduplicate(typed_tickets(checked))
+    quarantine = validation_rejects(checked).unionByName(duplicates)
     return Cleaning(clean, duplicates, quarantine, quality_report(checked, quarantine))
 
 

@@ -12,29 +12,46 @@ from ticketlake.functions.ratios import rate
 NO_SUPPORT = "SIN EVIDENCIA EN LOS DOCUMENTOS"
 MIN_RECALL = 0.90
 MAX_ESCALATION = 0.25
+MIN_MACRO_F1 = 0.70
 SWEEP = tuple(round(0.02 * step, 2) for step in range(1, 21))
 NO_EVIDENCE = "sin_evidencia_suficiente"
 ABSTAINED = "abstencion"
+UNCITED = "emitió una respuesta sin ninguna cita"
+UNSUPPORTED_ANSWER = "respondió a una pregunta sin respaldo"
+UNANSWERED = "quedó sin respuesta"
 
 
 def confusion_matrix(
-    pairs: DataFrame, labels: Sequence[str], real: str = "real", predicted: str = "prediccion"
+    pairs: DataFrame, labels: Sequence[str] | None = None, real: str = "real",
+    predicted: str = "prediccion",
 ) -> DataFrame:
-    """``(real, prediccion, n)`` for every pair of a closed label list, zeros included.
+    """``(real, prediccion, n)`` for every pair of labels, zeros included.
 
-    The grid comes from two explodes of the label list, not from a join of the data with itself.
+    Without ``labels`` the list is what occurs on either side. With them it is closed: a pair with
+    a label outside the list is an error when the matrix is read, never a lost case. The grid comes
+    from two explodes of the label list, one short row, not from a join of the data with itself.
     """
-    names = F.array(*[F.lit(name) for name in labels])
-    spark = pairs.sparkSession
-    grid = (
-        spark.range(1)
-        .select(F.explode(names).alias("real"))
-        .select("real", F.explode(names).alias("prediccion"))
-    )
     counts = pairs.groupBy(
         F.col(real).alias("real"), F.col(predicted).alias("prediccion")
     ).agg(F.count("*").alias("n"))
-    return grid.join(counts, ["real", "prediccion"], "left").select(
+    if labels is None:
+        either = counts.select(F.explode(F.array("real", "prediccion")).alias("label"))
+        names = either.agg(F.array_sort(F.collect_set("label")).alias("names"))
+    else:
+        known = F.array(*[F.lit(name) for name in labels])
+        names = counts.sparkSession.range(1).select(known.alias("names"))
+        stray = ~F.col("real").isin(*labels) | ~F.col("prediccion").isin(*labels)
+        message = F.concat_ws(
+            " ", F.lit("label outside the list:"), "real", F.lit("/"), "prediccion"
+        )
+        counts = counts.withColumn(
+            "n", F.when(stray, F.raise_error(message).cast("bigint")).otherwise(F.col("n"))
+        )
+    grid = names.select("names", F.explode("names").alias("real")).select(
+        "real", F.explode("names").alias("prediccion")
+    )
+    how = "left" if labels is None else "full"  # a stray label must reach its error
+    return grid.join(counts, ["real", "prediccion"], how).select(
         "real", "prediccion", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
     )
 
@@ -90,6 +107,13 @@ def macro_f1(metrics: DataFrame) -> DataFrame:
     )
 
 
+def macro_f1_gate(metrics: DataFrame, threshold: float = MIN_MACRO_F1) -> DataFrame:
+    """The macro-F1 and whether it reaches the threshold; no classes fail."""
+    return macro_f1(metrics).withColumn(
+        "aprueba", F.coalesce(F.col("macro_f1") >= threshold, F.lit(False))
+    )
+
+
 def retrieval_hits(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Per case: best score, whether the expected citation was delivered and at which position.
 
@@ -109,10 +133,16 @@ def unsupported() -> Column:
 
 
 def case_detail(hits: DataFrame, answers: DataFrame) -> DataFrame:
-    """Outcome of every case with the reason it counts as a failure (null when it does not)."""
-    joined = hits.join(answers, F.col("id_caso") == F.col("question_id"))
-    abstained = F.col("origen") == ABSTAINED
-    uncited = ~abstained & (F.size("citas") == 0)
+    """Outcome of every case with the reason it counts as a failure (null when it does not).
+
+    A case without an answer stays, with a null ``origen``, and counts as a failure.
+    """
+    joined = hits.join(answers, F.col("id_caso") == F.col("question_id"), "left").withColumn(
+        "citas", F.coalesce("citas", F.array().cast("array<string>"))
+    )
+    missing = F.col("question_id").isNull()
+    abstained = F.coalesce(F.col("origen") == ABSTAINED, F.lit(False))
+    uncited = ~missing & ~abstained & (F.size("citas") == 0)
     return joined.select(
         "id_caso",
         unsupported().alias("sin_respaldo"),
@@ -122,10 +152,9 @@ def case_detail(hits: DataFrame, answers: DataFrame) -> DataFrame:
         "citas",
         "recuperada",
         uncited.alias("sin_cita"),
-        F.when(uncited, F.lit("emitió una respuesta sin ninguna cita"))
-        .when(
-            unsupported() & ~abstained, F.lit("respondió a una pregunta sin respaldo")
-        )
+        F.when(missing, F.lit(UNANSWERED))
+        .when(uncited, F.lit(UNCITED))
+        .when(unsupported() & ~abstained, F.lit(UNSUPPORTED_ANSWER))
         .alias("fallo"),
     )
 
@@ -144,6 +173,7 @@ def evaluate(detail: DataFrame) -> DataFrame:
         F.count_if(~backed & abstained).alias("abstenciones_correctas"),
         F.count_if(F.col("sin_cita")).alias("respuestas_sin_cita"),
         F.count_if(backed & (F.col("motivo") == NO_EVIDENCE)).alias("escalamientos"),
+        F.count_if(F.col("origen").isNull()).alias("sin_respuesta"),
         F.count_if(F.col("fallo").isNotNull()).alias("fallos"),
     )
     return sums.withColumns(
@@ -185,6 +215,7 @@ def check_thresholds(result: DataFrame, real_provider: bool) -> DataFrame:
 
 def threshold_sweep(hits: DataFrame, thresholds: Sequence[float] = SWEEP) -> DataFrame:
     """For each threshold: good answers, wrong abstentions, right abstentions and both targets.
+    Without cases every threshold still has its row, of zeros.
 
     Cases are first counted by how many thresholds their best score reaches, so only a handful of
     rows per threshold is ever expanded.
@@ -200,8 +231,15 @@ def threshold_sweep(hits: DataFrame, thresholds: Sequence[float] = SWEEP) -> Dat
     def total(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("n")).otherwise(0))
 
+    every = cells.sparkSession.range(1).select(
+        F.lit(None).cast("boolean").alias("sin_respaldo"),
+        F.lit(None).cast("boolean").alias("recuperada"),
+        F.lit(0).alias("alcanza"),
+        F.lit(0).cast("bigint").alias("n"),
+    )
     return (
-        cells.select("*", F.posexplode(steps).alias("paso", "umbral"))
+        cells.unionByName(every)
+        .select("*", F.posexplode(steps).alias("paso", "umbral"))
         .groupBy("umbral")
         .agg(
             total(backed & passes & F.col("recuperada")).alias("buenas"),

@@ -13,8 +13,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RESERVE, COMPLETE, RELEASE = "reservar", "completar", "liberar"
 NEW, REPEATED, IN_PROGRESS, CONFLICT = "nueva", "repetida", "en_curso", "conflicto"
 FREE, RESERVED, DONE = "libre", "reservada", "terminada"
+#: Stands in for a key without events: it changes nothing.
+NOTHING = "sin_accion"
+#: States of keys before or after a log; a free key has no row.
+STATES = "clave string, in_state string, in_hash string, in_code string"
 #: Width of the sequence blocks a key's events are replayed in.
 BLOCK = 100_000
+#: Blocks whose effects are folded into one block of the next level.
+FANOUT = 256
 
 
 def _replay(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,34 +121,72 @@ def _block_effects(events: DataFrame) -> DataFrame:
     ).select("clave", "_block", "_step", "_event.*")
 
 
-def replay_intake(events: DataFrame, block: int = BLOCK) -> DataFrame:
+def _folded(effects: DataFrame) -> DataFrame:
+    """The effects of groups of ``FANOUT`` blocks, as effects of the blocks of the next level."""
+    ordered = effects.withColumn("seq", F.struct("_block", "_step")).withColumn(
+        "_block", F.floor(F.col("_block") / F.lit(FANOUT)).cast("bigint")
+    )
+    return _block_effects(ordered)
+
+
+def _block_starts(effects: DataFrame, blocks: int, initial: DataFrame | None) -> DataFrame:
+    """``(clave, _block, in_state, in_hash, in_code)``: the state each block starts from.
+
+    Up the tree, groups of blocks are folded until a key has one group; down again, a group's start
+    is handed on through its blocks. No task sees more than ``FANOUT`` blocks of a key.
+    """
+    parent = F.floor(F.col("_block") / F.lit(FANOUT)).cast("bigint")
+    events = effects.withColumn("_parent", parent).withColumn("seq", F.struct("_block", "_step"))
+    if blocks > FANOUT:
+        above = _block_starts(_folded(effects), -(-blocks // FANOUT), initial)
+        started = events.join(
+            above.withColumnRenamed("_block", "_parent"), ["clave", "_parent"], "left"
+        )
+    elif initial is not None:
+        started = events.join(initial, "clave", "left")
+    else:
+        started = _from_free(events)
+    started = started.withColumn("in_state", F.coalesce("in_state", F.lit(FREE)))
+    return (
+        _replay(started, ["clave", "_parent"])
+        .filter(F.col("_step") == 0)
+        .select(
+            "clave", "_block", F.col("_state").alias("in_state"),
+            F.col("_hash").alias("in_hash"), F.col("_code").alias("in_code"),
+        )
+    )
+
+
+def _keyed(events: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Events with a key and their block, counted from the first; and the number of blocks."""
+    ends = events.agg(F.min("seq"), F.max("seq")).head()
+    first, last = (0 if end is None else end // block for end in ends)
+    number = F.floor(F.col("seq") / F.lit(block)).cast("bigint") - F.lit(first)
+    empty = (F.col("accion") == COMPLETE) & F.col("codigo").isNull()
+    keyed = events.filter(F.col("clave").isNotNull() & ~empty).select(
+        "seq", "accion", "clave", "huella", "codigo", number.alias("_block")
+    )
+    return keyed, last - first + 1
+
+
+def replay_intake(
+    events: DataFrame, block: int = BLOCK, initial: DataFrame | None = None
+) -> DataFrame:
     """Outcome of every reserve event: ``seq, clave, huella, estado, codigo``.
 
     Events without a key are never deduplicated and skip the replay. Events of one key are
     replayed in blocks of the sequence, so a key that holds a third of the log is spread over many
-    tasks: each block is reduced to a few equivalent events, those are replayed per key to get
-    the state each block starts from, and the blocks are replayed again from there.
+    tasks: each block is reduced to a few equivalent events, those are folded as a tree to get the
+    state each block starts from, and the blocks are replayed again from there. ``initial`` holds
+    the states of keys before the first event (:func:`states_after`); without it all keys are free.
     """
     reserves = F.col("accion") == RESERVE
     keyless = events.filter(F.col("clave").isNull() & reserves).select(
         "seq", "clave", "huella", F.lit(NEW).alias("estado"),
         F.lit(None).cast("string").alias("codigo"),
     )
-    keyed = events.filter(F.col("clave").isNotNull()).select(
-        "seq", "accion", "clave", "huella", "codigo",
-        F.floor(F.col("seq") / F.lit(block)).cast("bigint").alias("_block"),
-    )
-    effects = _from_free(_block_effects(keyed)).withColumn(
-        "seq", F.struct("_block", "_step")
-    )
-    starts = (
-        _replay(effects, ["clave"])
-        .filter(F.col("_step") == 0)
-        .select(
-            "clave", "_block", F.col("_state").alias("in_state"),
-            F.col("_hash").alias("in_hash"), F.col("_code").alias("in_code"),
-        )
-    )
+    keyed, blocks = _keyed(events, block)
+    starts = _block_starts(_block_effects(keyed), blocks, initial)
     with_start = keyed.join(starts, ["clave", "_block"], "left").withColumn(
         "in_state", F.coalesce("in_state", F.lit(FREE))
     )
@@ -163,3 +207,33 @@ def replay_intake(events: DataFrame, block: int = BLOCK) -> DataFrame:
         )
     )
     return answered.unionByName(keyless)
+
+
+def states_after(
+    events: DataFrame, block: int = BLOCK, initial: DataFrame | None = None
+) -> DataFrame:
+    """``(clave, in_state, in_hash, in_code)`` of the keys that aren't free after the events."""
+    keyed, blocks = _keyed(events, block)
+    effects = _block_effects(keyed)
+    while blocks > 1:
+        effects, blocks = _folded(effects), -(-blocks // FANOUT)
+    last = effects.withColumn("seq", F.struct("_block", "_step")).join(
+        initial if initial is not None else _no_states(events), "clave", "full"
+    )
+    last = last.withColumn("in_state", F.coalesce("in_state", F.lit(FREE))).withColumn(
+        "accion", F.coalesce("accion", F.lit(NOTHING))
+    )
+    nothing = F.struct(F.lit(0).cast("bigint").alias("_block"), F.lit(0).alias("_step"))
+    ended = _replay(last, ["clave"]).groupBy("clave").agg(
+        F.max_by(_state_after(), F.coalesce("seq", nothing)).alias("end")
+    )
+    return ended.select(
+        "clave",
+        F.col("end.state").alias("in_state"),
+        F.col("end.hash").alias("in_hash"),
+        F.col("end.code").alias("in_code"),
+    ).filter(F.col("in_state") != FREE)
+
+
+def _no_states(events: DataFrame) -> DataFrame:
+    return events.sparkSession.createDataFrame([], STATES)

@@ -114,11 +114,12 @@ def cost_projection(usage: DataFrame, prices: DataFrame, calls_per_month: int) -
 
 
 def redact_events(events: DataFrame, fields: Sequence[str] = PRIVATE_FIELDS) -> DataFrame:
-    """Replace private fields that carry a value by a fixed marker."""
+    """Replace private fields that carry a value by a fixed marker, also among the ``extras``."""
     present = [name for name in fields if name in events.columns]
-    return events.withColumns(
-        {name: F.when(F.col(name).isNotNull(), F.lit(REDACTED)) for name in present}
-    )
+    changed = {name: F.when(F.col(name).isNotNull(), F.lit(REDACTED)) for name in present}
+    if "extras" in events.columns:
+        changed["extras"] = redact_map(F.col("extras"), fields)
+    return events.withColumns(changed)
 
 
 def redact_map(extras: Column, fields: Sequence[str] = PRIVATE_FIELDS) -> Column:

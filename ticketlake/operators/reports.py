@@ -10,7 +10,7 @@ from ticketlake.functions.catalogs import OPEN_STATES, priority_rank
 from ticketlake.functions.dates import month_bounds, report_dates
 from ticketlake.functions.ratios import percent
 from ticketlake.functions.text import strip, text_or_empty
-from ticketlake.operators.skew import hot_keys, salted_join, settled
+from ticketlake.operators.skew import settled, small_dimension
 
 CLOSED = "Cerrado"
 REOPENED = "Reabierto"
@@ -48,8 +48,11 @@ def ticket_detail(
 ) -> DataFrame:
     """Open tickets with requester and both areas: the one that serves and the requester's own.
 
-    ``id_area`` is a bound value, not text spliced into a query; the filter reaches the scan.
+    ``id_area`` is a bound value, not text spliced into a query; the filter reaches the scan. The
+    areas are broadcast once their rows are counted; a requester with a large share of all tickets
+    is left to the engine's skew handling, as their tickets join one row.
     """
+    areas = small_dimension(areas)
     open_tickets = tickets.filter(F.col("estado") != CLOSED)
     if id_area is not None:
         open_tickets = open_tickets.filter(F.col("id_area") == F.lit(id_area))
@@ -63,15 +66,7 @@ def ticket_detail(
         F.col("correo").alias("correo_solicitante"),
         F.col("id_area").alias("area_usuario"),
     ).join(asking, "area_usuario")
-    # One requester may have opened a large share of all tickets.
-    frequent = open_tickets.groupBy("id_usuario").agg(F.count("*").alias("n"))
-    with_requester = salted_join(
-        open_tickets.join(serving, "id_area"),
-        requesters,
-        "id_usuario",
-        hot_keys(frequent, "id_usuario", "n"),
-        ["id_ticket"],
-    )
+    with_requester = open_tickets.join(serving, "id_area").join(requesters, "id_usuario")
     return (
         with_requester.select(
             F.col("codigo").alias("ticket"),
@@ -109,7 +104,7 @@ def reopen_discrepancy(tickets: DataFrame, areas: DataFrame, history: DataFrame)
     return (
         tickets.join(events, "id_ticket", "left")
         .filter((F.col("reaperturas") > 0) | (n_events > 0))
-        .join(areas, "id_area")
+        .join(small_dimension(areas), "id_area")
         .select(
             F.col("codigo").alias("ticket"),
             F.col("nombre").alias("area"),

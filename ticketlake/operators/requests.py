@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ticketlake.functions.catalogs import canonical, canonical_column
 from ticketlake.functions.text import strip, text_or_empty
@@ -19,6 +19,7 @@ FILTER_FIELDS = ("area", "estado", "categoria", "prioridad")
 CODE_PREFIX = "SOL"
 CODE_WIDTH = 6
 NUMBERING_BLOCK = 1_000_000
+GROUPED_BLOCKS = 10_000
 
 
 class UnknownFilterValue(ValueError):
@@ -64,13 +65,14 @@ def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted.drop("campo", *helpers), rejected.drop(*helpers)
 
 
-def _matches(filters: dict[str, str | None]) -> Column:
+def _matches(spark: SparkSession, filters: dict[str, str | None]) -> Column:
+    """Equality with canonical values, which are constants by the time the filter is planned."""
     condition = F.lit(True)
     for name in FILTER_FIELDS:
         wanted = filters.get(name)
         if wanted is None or not wanted.strip():
             continue
-        value = canonical(name, wanted)
+        value = spark.sql("SELECT 1").select(canonical(name, F.lit(wanted))).first()[0]
         if value is None:
             raise UnknownFilterValue(name)
         condition = condition & (F.col(name) == value)
@@ -87,7 +89,7 @@ def list_requests(
     top-k, not a sort of the table.
     """
     limit, offset = max(1, min(int(limit), MAX_PAGE_SIZE)), max(0, int(offset))
-    chosen = requests.filter(_matches(filters or {}))
+    chosen = requests.filter(_matches(requests.sparkSession, filters or {}))
     page = chosen.orderBy(F.desc(order)).offset(offset).limit(limit)
     total = chosen.agg(F.count("*").alias("total")).withColumn(
         "hay_mas", F.lit(offset + limit) < F.col("total")
@@ -122,16 +124,30 @@ def number_requests(
     """Consecutive ``numero`` and ``codigo`` after ``last_number``, in the order of a whole-number
     arrival sequence.
 
-    Rows are ranked inside blocks of the sequence and shifted by the running size of the blocks
-    before, so only one row per block is ever ordered globally.
+    Rows are ranked inside blocks of the sequence. A block starts where the blocks before it end,
+    which is again found in two levels: blocks inside groups of ``GROUPED_BLOCKS``, and the groups
+    among themselves, so even the one global window sees a row per group only.
     """
     blocked = requests.withColumn(
         "_block", F.floor(F.col(order) / F.lit(block)).cast("bigint")
     )
-    sizes = blocked.groupBy("_block").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    sizes = (
+        blocked.groupBy("_block")
+        .agg(F.count("*").alias("_size"))
+        .withColumn("_group", F.floor(F.col("_block") / F.lit(GROUPED_BLOCKS)).cast("bigint"))
+    )
+    earlier = Window.unboundedPreceding, -1
+    inside_group = Window.partitionBy("_group").orderBy("_block").rowsBetween(*earlier)
+    groups = sizes.groupBy("_group").agg(F.sum("_size").alias("_group_size")).select(
+        "_group",
+        F.coalesce(
+            F.sum("_group_size").over(Window.orderBy("_group").rowsBetween(*earlier)), F.lit(0)
+        ).alias("_base"),
+    )
+    offsets = (
+        sizes.withColumn("_inside", F.coalesce(F.sum("_size").over(inside_group), F.lit(0)))
+        .join(groups, "_group")
+        .select("_block", (F.col("_base") + F.col("_inside")).alias("_offset"))
     )
     inside = Window.partitionBy("_block").orderBy(order)
     return (

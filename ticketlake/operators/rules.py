@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketlake.functions.catalogs import canonical_column
 from ticketlake.functions.citations import first_json_object
-from ticketlake.functions.plain import plain_search_key
 from ticketlake.functions.text import search_key, title_and_body
 
 # Keyword rules in order of precedence, words of urgency, defaults and motives.
@@ -39,7 +38,7 @@ OUTPUT_OUT_OF_CATALOG = "salida_fuera_de_catalogo"
 def _mentions(key: Column, words: Sequence[str]) -> Column:
     condition = F.lit(False)
     for word in words:
-        condition = condition | key.contains(plain_search_key(word))
+        condition = condition | key.contains(search_key(F.lit(word)))
     return condition
 
 

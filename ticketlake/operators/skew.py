@@ -6,19 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: At most this many keys are treated as hot. Whatever the data size, the hot list is bounded,
-#: and a key outside it holds less than ``1 / HOT_KEYS`` of the rows.
-HOT_KEYS = 1024
-#: A key below this many rows is never worth splitting.
+#: No key outside the hot list holds more than one part in so many of all rows, and the hot list
+#: itself has fewer rows than this, whatever the data size.
+HOT_PARTS = 100_000
+#: Rows that a task takes of one key; a key with fewer is never worth splitting.
 HOT_ROWS = 100_000
-#: How many ways the rows of one hot key are split.
+#: Groups of input tasks that the first round of :func:`top_per_key` merges.
 SALTS = 64
+#: A dimension of at most so many rows is broadcast; a larger one is joined by key.
+DIMENSION_ROWS = 100_000
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys of a ``(key, n)`` table: never more than ``HOT_KEYS`` rows."""
-    heavy = counts.filter(F.col(n) > min_rows)
-    return heavy.orderBy(F.desc(n), key).limit(HOT_KEYS).select(key)
+    """``(key, _salts)`` of the keys in a ``(key, n)`` table that are too large for one task.
+
+    A task's share is ``min_rows`` or one part in ``HOT_PARTS`` of all rows, whichever is more, so
+    fewer than ``HOT_PARTS`` keys exceed it. Each is split into as many parts as it needs.
+    """
+    total = F.coalesce(counts.agg(F.sum(n)).scalar(), F.lit(0))
+    share = F.greatest(F.lit(min_rows).cast("bigint"), F.ceil(total / F.lit(HOT_PARTS)))
+    return counts.select(key, F.ceil(F.col(n) / share).cast("int").alias("_salts")).filter(
+        "_salts > 1"
+    )
 
 
 def salted_join(
@@ -29,32 +38,32 @@ def salted_join(
 
     Rows of a hot key get a salt from a hash of the ``spread`` columns (deterministic, so a
     re-run task sends every row to the same place); the lookup row of a hot key is repeated once
-    per salt. ``hot`` comes from :func:`hot_keys`, so broadcasting it is bounded by HOT_KEYS.
+    per salt. ``hot`` comes from :func:`hot_keys`, so broadcasting it is bounded by HOT_PARTS.
     """
-    hot = hot.withColumn("_hot", F.lit(True))
+    salts = F.coalesce("_salts", F.lit(1))
     salted = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0),
+        "_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")
+    )
+    copies = lookup.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    copies = (
-        lookup.join(F.broadcast(hot), key, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                .otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
+    return (
+        salted.drop("_salts").join(copies.drop("_salts"), [key, "_salt"], how).drop("_salt")
     )
-    return salted.drop("_hot").join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def small_dimension(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
+    """A dimension marked for broadcast after its rows were counted; a larger one as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def top_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows per key, in two rounds.
 
-    Each input task keeps at most ``n`` rows per key, a first round merges groups of tasks, a
-    second round merges the groups; no round sees more than ``n`` rows per key from each part.
+    A first round keeps ``n`` rows per key and group of input tasks, a second round merges the
+    groups, so it sees ``SALTS * n`` rows of a key at most, whatever the key's size. Up to Spark's
+    window group limit (1,000 rows by default) input tasks drop further rows before the shuffle;
+    above it the first round still spreads a key over ``SALTS`` tasks.
     """
     part = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     first = Window.partitionBy(key, "_part").orderBy(*order)
@@ -68,11 +77,6 @@ def top_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> Dat
     )
 
 
-def within_budget(df: DataFrame, max_rows: int) -> bool:
-    """Whether a frame has at most ``max_rows`` rows, by a distributed count."""
-    return df.count() <= max_rows
-
-
 def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Adds computed columns that later filters read instead of computing them again.
 
@@ -82,20 +86,3 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [name for name in df.columns if name not in columns]
     fields = [expression.alias(name) for name, expression in columns.items()]
     return df.select(*kept, F.inline(F.array(F.struct(*fields))))
-
-
-def is_small_scan(df: DataFrame, max_parts: int = 64) -> bool:
-    """Whether a scan has fewer parts than there are cores; several gigabytes never do."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.rdd.getNumPartitions() < min(cores, max_parts)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Hand the rows of a small scan to all cores.
-
-    A small table is often one file block, which a single task reads; costly text work would then
-    run on one core. Scans of many parts are left as they are.
-    """
-    if not is_small_scan(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

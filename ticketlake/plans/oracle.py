@@ -107,9 +107,7 @@ def _tokens(x: str) -> str:
 
 
 def _mentions(key: str, words) -> str:
-    from ticketlake.functions.plain import plain_search_key
-
-    return "(" + " OR ".join(f"contains({key}, {_quote(plain_search_key(w))})" for w in words) + ")"
+    return "(" + " OR ".join(f"contains({key}, {_key(_quote(w))})" for w in words) + ")"
 
 
 def _rules(key: str) -> str:
@@ -470,13 +468,16 @@ CTES["aciertos"] = """
     GROUP BY id_caso, esperado, cita_esperada"""
 CTES["detalle"] = """
     SELECT id_caso, esperado LIKE 'SIN EVIDENCIA%' AS sin_respaldo,
-           CASE WHEN motivo IS NULL THEN 'modelo' ELSE 'abstencion' END AS origen, motivo,
+           CASE WHEN p.question_id IS NULL THEN NULL WHEN motivo IS NULL THEN 'modelo' ELSE 'abstencion' END
+           AS origen, motivo,
            round(CASE WHEN pregunta = '' THEN 0.0 ELSE p.mejor END, 4) AS puntaje,
            CASE WHEN motivo IS NULL THEN array_to_string(citas, '|') ELSE '' END AS citas,
-           posicion IS NOT NULL AS recuperada, motivo IS NULL AND len(citas) = 0 AS sin_cita,
-           CASE WHEN esperado LIKE 'SIN EVIDENCIA%' AND motivo IS NULL
+           posicion IS NOT NULL AS recuperada,
+           p.question_id IS NOT NULL AND motivo IS NULL AND len(citas) = 0 AS sin_cita,
+           CASE WHEN p.question_id IS NULL THEN 'quedó sin respuesta'
+                WHEN esperado LIKE 'SIN EVIDENCIA%' AND motivo IS NULL
                 THEN 'respondió a una pregunta sin respaldo' END AS fallo
-    FROM aciertos JOIN puertas p ON question_id = id_caso"""
+    FROM aciertos LEFT JOIN puertas p ON question_id = id_caso"""
 CTES["evaluado"] = f"""
     SELECT *, {_rate('recuperados', 'con_respaldo')} AS recall,
            {_rate('abstenciones_correctas', 'sin_respaldo')} AS tasa_abstencion,
@@ -487,6 +488,7 @@ CTES["evaluado"] = f"""
                  count(*) FILTER (sin_respaldo AND origen = 'abstencion') AS abstenciones_correctas,
                  count(*) FILTER (sin_cita) AS respuestas_sin_cita,
                  count(*) FILTER (NOT sin_respaldo AND motivo = 'sin_evidencia_suficiente') AS escalamientos,
+                 count(*) FILTER (origen IS NULL) AS sin_respuesta,
                  count(*) FILTER (fallo IS NOT NULL) AS fallos FROM detalle)"""
 CTES["barrido"] = f"""
     SELECT umbral, count(*) FILTER (respaldo AND mejor >= umbral AND posicion IS NOT NULL) AS buenas,
@@ -542,12 +544,13 @@ CTES["predichos"] = """
            round(max(puntaje) FILTER (lugar = 1) - max(puntaje) FILTER (lugar = 2), 4) AS margen
     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY puntaje DESC, etiqueta DESC) AS lugar
           FROM puntajes) GROUP BY doc_id"""
-_CLASSES = f"(SELECT unnest([{_listed(q.LANGUAGES)}]) AS {{0}})"
+CTES["enfrentados"] = """
+    SELECT d.doc_id, d.etiqueta AS real, p.prediccion FROM parte_probada d JOIN predichos p USING (doc_id)"""
+_CLASSES = "(SELECT real AS {0} FROM enfrentados UNION SELECT prediccion FROM enfrentados)"
 CTES["matriz"] = f"""
     SELECT real, prediccion, count(doc_id) AS n
     FROM {_CLASSES.format('real')} CROSS JOIN {_CLASSES.format('prediccion')}
-    LEFT JOIN (SELECT d.doc_id, d.etiqueta AS real, p.prediccion FROM parte_probada d
-               JOIN predichos p USING (doc_id)) USING (real, prediccion)
+    LEFT JOIN enfrentados USING (real, prediccion)
     GROUP BY real, prediccion"""
 CTES["por_clase"] = f"""
     SELECT categoria, {_rate('a', 'p')} AS precision, {_rate('a', 'r')} AS exhaustividad,
@@ -801,7 +804,7 @@ SELECTS: dict[str, str] = {
         SELECT question_id, list(cita) AS entregadas FROM recuperados GROUP BY question_id)
         USING (question_id)""",
     "x4_citations": f"""SELECT doc_id, array_to_string({_cites('t')}, '|') AS citas FROM (
-        SELECT doc_id, 'según POL-ADM-04 § 5.1, ' || substr(text, 1, 20) || ' POL-GTH-01 §'
+        SELECT doc_id, 'según POL-ADM-04 § 5.1, ' || text || ' POL-GTH-01 §'
         || (doc_id % 120) || '. POL-ADM-04 §5.1 y ' || source || '-POL §3' AS t FROM documents)""",
     "j7_hits": """SELECT id_caso, round(mejor, 4) AS mejor, posicion IS NOT NULL AS recuperada, posicion
         FROM aciertos""",

@@ -31,7 +31,6 @@ from ticketlake.operators import (
     rules,
     tfidf,
 )
-from ticketlake.operators.skew import is_small_scan
 from ticketlake.plans.views import VIEWS, view
 from ticketlake.schemas import TICKET_COLUMNS
 from ticketlake.session import materialize
@@ -44,7 +43,6 @@ QUERIES: dict[str, Query] = {}
 
 # Parameters of the registered queries.
 SEED = 42
-LANGUAGES = ("de", "en", "es", "fr")
 TODAY = date(2001, 8, 6)
 HOLIDAYS = (date(2000, 1, 3), date(2000, 12, 25), date(2001, 5, 1), date(2001, 7, 20))
 PRICES = [("norte", 0.28, 0.42), ("sur", 0.05, 0.4)]
@@ -61,20 +59,24 @@ def _flat(col, separator: str = "|"):
     return F.array_join(col, separator)
 
 
-_RENDERED: dict[tuple[str, str], DataFrame] = {}
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An input that several queries share, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = materialize(build())
+    return _BUILT[key]
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hand-written history: an input of the cleaning queries, rendered once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RENDERED:
-        captures = view(spark, sf_dir, "capturas")
-        written = materialize(captures, "capturas")
-        rendered = spark.sql(VIEWS["tickets_crudos"], capturas=written).drop("k")
-        if is_small_scan(captures):
-            rendered = rendered.repartition(spark.sparkContext.defaultParallelism)
-        _RENDERED[key] = materialize(rendered, "tickets_crudos")
-    return _RENDERED[key]
+    """The hand-written history: an input of the cleaning queries."""
+    def render() -> DataFrame:
+        captures = materialize(view(spark, sf_dir, "capturas"))
+        return spark.sql(VIEWS["tickets_crudos"], capturas=captures).drop("k")
+
+    return _once("tickets_crudos", spark, sf_dir, render)
 
 
 # Typed values ---------------------------------------------------------------------------------
@@ -362,7 +364,7 @@ def p14_review(spark, sf_dir):
 @query
 def w13_numbering(spark, sf_dir):
     accepted, _ = requests.validate_requests(view(spark, sf_dir, "solicitudes_crudas"))
-    return requests.number_requests(accepted, "seq", last_number=999_000, block=1000).select(
+    return requests.number_requests(accepted, "seq", last_number=999_000).select(
         "seq", "numero", "codigo"
     )
 
@@ -388,7 +390,7 @@ def x7_keys(spark, sf_dir):
 
 @query
 def r1_intake_batch(spark, sf_dir):
-    return intake.replay_intake(view(spark, sf_dir, "ingreso"), block=500)
+    return intake.replay_intake(view(spark, sf_dir, "ingreso"))
 
 
 # Classification -------------------------------------------------------------------------------
@@ -472,7 +474,7 @@ def _predictions(spark, sf_dir):
 def _matrix(spark, sf_dir):
     test, predicted = _predictions(spark, sf_dir)
     pairs = test.select("doc_id", F.col("etiqueta").alias("real")).join(predicted, "doc_id")
-    return evaluation.confusion_matrix(pairs, LANGUAGES)
+    return evaluation.confusion_matrix(pairs)
 
 
 @query
@@ -567,20 +569,15 @@ def a20_idf(spark, sf_dir):
 @query
 def a20_tfidf(spark, sf_dir):
     documents = view(spark, sf_dir, "documents")
-    counted = materialize(tfidf.term_counts(documents, F.col("text"), "doc_id"), "a20")
+    counted = materialize(tfidf.term_counts(documents, F.col("text"), "doc_id"))
     return tfidf.tfidf_weights(counted, "doc_id").withColumn("peso", F.round("peso", 4))
 
 
 @query
 def w5_topk(spark, sf_dir):
     documents = view(spark, sf_dir, "documents").withColumnRenamed("doc_id", "doc_key")
-    corpus = materialize(tfidf.term_counts(documents, F.col("text"), "doc_key"), "w5")
-    questions = tfidf.term_counts(
-        view(spark, sf_dir, "preguntas").withColumnRenamed("question_id", "query_id"),
-        F.col("pregunta"),
-        "query_id",
-    )
-    found = tfidf.retrieve_top_k(questions, corpus)
+    corpus = materialize(tfidf.term_counts(documents, F.col("text"), "doc_key"))
+    found = tfidf.retrieve_top_k(_questions(spark, sf_dir), corpus)
     return found.withColumns(
         {"puntaje": F.round("puntaje", 4), "posicion": F.col("posicion").cast("bigint")}
     )
@@ -593,25 +590,42 @@ def _searchable(spark, sf_dir):
     return chunks.fragments(view(spark, sf_dir, "politicas")).withColumn("doc_key", key)
 
 
-def _retrieved(spark, sf_dir):
-    """The five best fragments of every question, written once for the joins that follow."""
-    counted = tfidf.term_counts(
-        _searchable(spark, sf_dir), F.col("texto_para_buscar"), "doc_key"
+def _fragment_terms(spark, sf_dir):
+    """The index: term counts of every fragment, shared by all queries that retrieve."""
+    return _once(
+        "fragmentos", spark, sf_dir,
+        lambda: tfidf.term_counts(
+            _searchable(spark, sf_dir), F.col("texto_para_buscar"), "doc_key"
+        ),
     )
-    questions = tfidf.term_counts(
+
+
+def _questions(spark, sf_dir):
+    return tfidf.term_counts(
         view(spark, sf_dir, "preguntas").withColumnRenamed("question_id", "query_id"),
         F.col("pregunta"),
         "query_id",
     )
-    found = tfidf.retrieve_top_k(questions, materialize(counted, "fragmentos"))
-    cited = found.select(
+
+
+def _cited(found):
+    return found.select(
         F.col("query_id").alias("question_id"),
         F.split_part("doc_key", F.lit("\u0001"), F.lit(1)).alias("cita"),
         "puntaje",
         F.col("posicion").cast("bigint").alias("posicion"),
         "doc_key",
     )
-    return materialize(cited, "recuperados")
+
+
+def _retrieved(spark, sf_dir):
+    """The five best fragments of every question, shared by the queries that read them."""
+    return _once(
+        "recuperados", spark, sf_dir,
+        lambda: _cited(
+            tfidf.retrieve_top_k(_questions(spark, sf_dir), _fragment_terms(spark, sf_dir))
+        ),
+    )
 
 
 def _responses(spark, sf_dir, retrieved):
@@ -717,7 +731,7 @@ def w12_invented(spark, sf_dir):
 @query
 def x4_citations(spark, sf_dir):
     quoted = F.concat(
-        F.lit("según POL-ADM-04 § 5.1, "), F.substring("text", 1, 20),
+        F.lit("según POL-ADM-04 § 5.1, "), F.col("text"),
         F.lit(" POL-GTH-01 §"), (F.col("doc_id") % 120).cast("string"),
         F.lit(". POL-ADM-04 §5.1 y "), "source", F.lit("-POL §3"),
     )

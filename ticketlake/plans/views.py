@@ -11,16 +11,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlake.operators.skew import spread_small
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-#: Tables whose long texts are costly to process.
-TEXT_TABLES = ("documents", "pages")
-
 _DAY = "CAST(o_orderdate AS DATE)"
 
 
@@ -153,7 +148,7 @@ VIEWS = {
                prioridad, canal, solicitante, asunto, descripcion, estado, reaperturas
         FROM {capturas} WHERE k % 6 = 1 AND k % 35 <> 0""",
     "textos_etiquetados": """
-        SELECT doc_id, text AS texto, lang AS etiqueta, split_part(text, '.', 1) AS asunto
+        SELECT doc_id, text AS texto, lang AS etiqueta, text AS asunto
         FROM {documents}""",
     "solicitudes_crudas": """
         SELECT event_id AS seq, ts AS fecha_creacion,
@@ -215,13 +210,13 @@ VIEWS = {
         FROM {events}""",
     "tickets_conversados": """
         SELECT conv_id * 1000 + turn AS ticket_id,
-               CASE WHEN conv_id % 9 = 0 THEN '' ELSE substr(text, 1, 30) END AS asunto,
+               CASE WHEN conv_id % 9 = 0 THEN '' ELSE text END AS asunto,
                CASE WHEN conv_id % 9 = 0 THEN '  ' ELSE text END AS descripcion
         FROM {conversations} WHERE role = 'user'""",
     "respuestas_modelo": """
         SELECT conv_id * 1000 + turn - 1 AS ticket_id,
                (conv_id + turn) % 8 <> 0 AS ok,
-               substr(text, 1, 40) || CASE (conv_id + turn) % 9
+               text || CASE (conv_id + turn) % 9
                     WHEN 0 THEN ' {{"categoria": "Red", "prioridad": "Alta"}} listo'
                     WHEN 1 THEN ' {{"categoria": "NOMINA", "prioridad": "1-alta"}}'
                     WHEN 2 THEN ' {{"categoria": "Teletrabajo", "prioridad": "Alta"}}'
@@ -284,8 +279,7 @@ def names_in(sql: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

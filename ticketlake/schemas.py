@@ -8,7 +8,6 @@ TICKET_COLUMNS = (
     "id", "fecha_creacion", "fecha_cierre", "area", "categoria", "prioridad",
     "canal", "solicitante", "asunto", "descripcion", "estado", "reaperturas",
 )
-RAW_TICKET = T.StructType([T.StructField(name, T.StringType()) for name in TICKET_COLUMNS])
 
 REFERENCE_CASE = T.StructType(
     [
@@ -20,13 +19,10 @@ REFERENCE_CASE = T.StructType(
     ]
 )
 
-LOG_EVENT = T.StructType(
-    [
-        T.StructField(name, T.StringType())
-        for name in ("momento", "nivel", "evento", "modulo", "id_traza", "asunto",
-                     "descripcion", "solicitante", "correo", "texto")
-    ]
-    + [T.StructField("_roto", T.StringType())]
+#: Fields of a log line with a column of their own; any other field is kept in ``extras``.
+LOG_FIELDS = (
+    "momento", "nivel", "evento", "modulo", "id_traza", "asunto", "descripcion", "solicitante",
+    "correo", "texto",
 )
 
 INTAKE_EVENT = T.StructType(

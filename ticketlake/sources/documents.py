@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ticketlake.functions.text import strip, text_or_empty
 from ticketlake.operators.chunks import plain_lines
 from ticketlake.operators.evaluation import NO_SUPPORT
-from ticketlake.schemas import LOG_EVENT, REFERENCE_CASE
+from ticketlake.operators.metrics import redact_events
+from ticketlake.schemas import LOG_FIELDS, REFERENCE_CASE
 
 
 def read_policy_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -53,14 +54,37 @@ def read_reference_cases(spark: SparkSession, path: str) -> DataFrame:
     return reference_cases(rows)
 
 
-def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line with a fixed schema; broken lines keep their text in ``_roto``."""
-    return (
-        spark.read.schema(LOG_EVENT).option("columnNameOfCorruptRecord", "_roto").json(path)
+def event_fields(lines: DataFrame) -> DataFrame:
+    """Log events from lines of JSON text (``value``).
+
+    The known fields are columns, every other field stays in the map ``extras`` (a nested value as
+    its JSON text). A line that is no JSON object keeps its text in ``_roto``.
+    """
+    fields = F.from_json(F.col("value"), "map<string,string>")
+    read = lines.filter(F.trim("value") != "").select("value", fields.alias("f"))
+    broken = F.col("f").isNull()
+    return read.select(
+        *[F.element_at("f", name).alias(name) for name in LOG_FIELDS],
+        F.map_filter("f", lambda name, value: ~name.isin(*LOG_FIELDS)).alias("extras"),
+        F.when(broken, F.col("value")).alias("_roto"),
     )
 
 
+def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON object per line."""
+    return event_fields(spark.read.text(path))
+
+
 def stream_event_log(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.readStream.schema(LOG_EVENT).option("columnNameOfCorruptRecord", "_roto").json(path)
+    return event_fields(spark.readStream.text(path))
+
+
+def write_event_log(events: DataFrame, path: str) -> None:
+    """One JSON object per line: known fields and extras side by side, private ones replaced."""
+    redacted = redact_events(events)
+    known = F.map_from_arrays(
+        F.array(*map(F.lit, LOG_FIELDS)), F.array(*[F.col(name) for name in LOG_FIELDS])
     )
+    given = F.map_filter(known, lambda name, value: value.isNotNull())
+    fields = F.map_concat(given, F.coalesce("extras", F.create_map().cast("map<string,string>")))
+    redacted.select(F.to_json(fields).alias("value")).write.text(path)

@@ -5,20 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ticketlake.operators.clean import deduplicate, validate_tickets
-from ticketlake.operators.metrics import latency_summary
+from ticketlake.operators.clean import (
+    CLEAN_ROWS,
+    check_tickets,
+    duplicate_rejects,
+    mark_duplicates,
+    typed_tickets,
+    validation_rejects,
+)
+from ticketlake.operators.metrics import last_samples, latency_summary
 from ticketlake.operators.reminders import due_reminders, last_change, not_yet_sent
 from ticketlake.operators.rules import validate_model_output
+from ticketlake.session import materialize
+from ticketlake.streaming.state import advance, previous
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Calls, degraded calls and tokens per operation and event-time window.
 
-    The watermark is an addition for unbounded input: it bounds the state, and events later than
-    ``late`` are dropped from this view (the batch tables keep them).
+    The watermark is an addition for unbounded input: it bounds the state. Events of windows that
+    had closed when they arrived are left out here and written by :func:`late_events`.
     """
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -37,27 +47,57 @@ def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minu
     )
 
 
+def late_events(
+    events: DataFrame, late_path: str, state_path: str, checkpoint: str, width: str = "1 hour",
+    late: str = "10 minutes", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Writes the events whose window had closed when they arrived: what :func:`window_counts`
+    leaves out of the same micro-batches. Its state is the latest event time so far."""
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        before = previous(batch.sparkSession, state_path, batch_id, "ts timestamp")
+        timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        closed = before.agg(F.max("ts") - F.expr(f"INTERVAL {late}")).scalar()
+        ended = F.col("_window.end") <= closed
+        timed.withColumn("_window", F.window("ts", width)).filter(ended).drop("_window").write.mode(
+            "overwrite"
+        ).parquet(f"{late_path}/lote={batch_id}")
+        latest = timed.select("ts").unionByName(before).agg(F.max("ts").alias("ts"))
+        advance(latest, state_path, batch_id)
+
+    return _each_batch(events, keep, checkpoint, trigger)
+
+
+def _each_batch(
+    events: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str,
+    trigger: dict | None,
+) -> StreamingQuery:
+    return (
+        events.writeStream.foreachBatch(work)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def rolling_latency(
     events: DataFrame, samples_path: str, publish: Callable[[DataFrame], None],
     checkpoint: str, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Latency summary over the last samples of each operation, refreshed per micro-batch.
 
-    Every batch appends its samples under its batch number (a re-run replaces its own folder) and
-    publishes the summary of the stored samples.
+    The state holds the samples that count, ``MAX_SAMPLES`` per operation at most; each batch
+    merges its own into them and publishes the summary.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        batch.select("operacion", "seq", "latencia_ms").write.mode("overwrite").parquet(
-            f"{samples_path}/lote={batch_id}"
+        schema = "operacion string, seq long, latencia_ms double"
+        before = previous(batch.sparkSession, samples_path, batch_id, schema)
+        arrived = batch.select(
+            "operacion", F.col("seq").cast("bigint"), F.col("latencia_ms").cast("double")
         )
-        publish(latency_summary(batch.sparkSession.read.parquet(samples_path)))
+        kept = last_samples(arrived.unionByName(before), "operacion", "seq")
+        publish(latency_summary(advance(kept, samples_path, batch_id)))
 
-    return (
-        events.writeStream.foreachBatch(refresh)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    return _each_batch(events, refresh, checkpoint, trigger)
 
 
 def classify_batches(
@@ -74,39 +114,37 @@ def classify_batches(
             f"{out}/lote={batch_id}"
         )
 
-    return (
-        tickets.writeStream.foreachBatch(classify)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    return _each_batch(tickets, classify, checkpoint, trigger)
 
 
 def stream_clean(
-    raw: DataFrame, valid_path: str, rejects_path: str, checkpoint: str,
+    raw: DataFrame, clean_path: str, rejects_path: str, checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Validate raw tickets as they arrive; the checks are row-local and run unchanged.
+    """Clean raw tickets as they arrive: checks per row, duplicates against all that came before.
 
-    Duplicates span batches, so they are settled over the stored valid rows
-    (:func:`settle_duplicates`).
+    The state is the clean table itself, the row kept so far of every id. A batch is judged once;
+    its valid rows meet the kept ones by the same fold as in a batch run, which only ever compares
+    with the row kept so far. Rows must arrive in the order of ``_row``; then the last state and
+    all rejects equal those of one run over everything. The clean table is the folder of the last
+    batch number modulo two (:func:`clean_so_far`).
     """
-    def split(batch: DataFrame, batch_id: int) -> None:
-        valid, rejects = validate_tickets(batch)
-        valid.write.mode("overwrite").parquet(f"{valid_path}/lote={batch_id}")
+    def settle_batch(batch: DataFrame, batch_id: int) -> None:
+        checked = materialize(check_tickets(batch))
+        valid = typed_tickets(checked)
+        before = previous(batch.sparkSession, clean_path, batch_id, CLEAN_ROWS)
+        marked = materialize(mark_duplicates(valid.unionByName(before)))
+        rejects = validation_rejects(checked).unionByName(duplicate_rejects(marked))
         rejects.write.mode("overwrite").parquet(f"{rejects_path}/lote={batch_id}")
+        kept = marked.filter(F.col("motivo").isNull()).select(*valid.columns)
+        advance(kept, clean_path, batch_id)
 
-    return (
-        raw.writeStream.foreachBatch(split)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    return _each_batch(raw, settle_batch, checkpoint, trigger)
 
 
-def settle_duplicates(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clean tickets and duplicate records of everything validated so far."""
-    return deduplicate(valid)
+def clean_so_far(spark: SparkSession, clean_path: str, last_batch: int) -> DataFrame:
+    """The clean tickets after batch number ``last_batch`` of :func:`stream_clean`."""
+    return previous(spark, clean_path, last_batch + 1, CLEAN_ROWS)
 
 
 def send_reminders(
@@ -115,24 +153,22 @@ def send_reminders(
 ) -> DataFrame:
     """Append the due reminders of a day that the ledger does not hold yet; return that day's.
 
-    A second run of the same day finds every (ticket, type, date) in the ledger and adds nothing.
+    Only that day's folder of the ledger is read, as no other can hold its entries. A second run of
+    the same day finds every (ticket, type, date) there and adds nothing; runs of one day must
+    follow one another, and an entry that two runs at once both wrote is read once.
     """
     spark = tickets.sparkSession
     due = due_reminders(last_change(tickets, history), today, holidays)
     target = f"{ledger_path}/dia={today.isoformat()}"
     schema = "id_ticket long, codigo string, dias_habiles long, tipo string, fecha date"
-    ledger = (
-        spark.read.schema(schema).option("recursiveFileLookup", True).parquet(ledger_path)
-        if _exists(spark, ledger_path)
-        else spark.createDataFrame([], schema)
-    )
+    try:
+        ledger = spark.read.schema(schema).parquet(target)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = spark.createDataFrame([], schema)
     fresh = not_yet_sent(due, ledger)
     fresh.select("id_ticket", "codigo", "dias_habiles", "tipo", "fecha").write.mode(
         "append"
     ).parquet(target)
-    return spark.read.schema(schema).parquet(target)
-
-
-def _exists(spark, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    return spark.read.schema(schema).parquet(target).dropDuplicates(["id_ticket", "tipo", "fecha"])

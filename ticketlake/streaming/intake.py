@@ -1,100 +1,38 @@
-"""Idempotent intake as a keyed stateful stream."""
+"""Idempotent intake as a stream: the batch replay, carried on from batch to batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.query import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from ticketlake.operators.intake import BLOCK, STATES, replay_intake, states_after
+from ticketlake.session import materialize
+from ticketlake.streaming.state import advance, previous
 
-from ticketlake.operators.intake import (
-    COMPLETE,
-    CONFLICT,
-    IN_PROGRESS,
-    NEW,
-    RELEASE,
-    REPEATED,
-    RESERVE,
-)
 
-OUTPUT = "seq long, clave string, huella string, estado string, codigo string"
-STATE = "huella string, codigo string"
-#: Keys are forgotten a day after their last change.
-TTL_MS = 24 * 60 * 60 * 1000
+def idempotent_intake(
+    events: DataFrame, answers_path: str, state_path: str, checkpoint: str,
+    block: int = BLOCK, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Writes the outcome of every reserve event of a stream, one folder per micro-batch.
 
-
-class IntakeProcessor(StatefulProcessor):
-    """One entry (content hash, resulting code) per idempotency key."""
-
-    def __init__(self, ttl_ms: int | None = TTL_MS) -> None:
-        self._ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._entry = handle.getValueState("entry", STATE, self._ttl_ms)
-
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any
-    ) -> Iterator[pd.DataFrame]:
-        entry = self._entry.get() if self._entry.exists() else None
-        entry = None if entry is None else (entry[0], entry[1])
-        before = entry
-        # The events of a key inside one micro-batch are put in sequence order.
-        batch = pd.concat(list(rows)).sort_values("seq")
-        answers = []
-        for event in batch.itertuples():
-            if event.accion == RESERVE:
-                code = None
-                if entry is None:
-                    entry, outcome = (event.huella, None), NEW
-                elif entry[0] != event.huella:
-                    outcome = CONFLICT
-                elif entry[1] is None:
-                    outcome = IN_PROGRESS
-                else:
-                    outcome, code = REPEATED, entry[1]
-                answers.append((event.seq, key[0], event.huella, outcome, code))
-            elif event.accion == COMPLETE and entry is not None:
-                entry = (entry[0], event.codigo)
-            elif event.accion == RELEASE and entry is not None and entry[1] is None:
-                entry = None
-        if entry != before:
-            if entry is None:
-                self._entry.clear()
-            else:
-                self._entry.update(entry)
-        columns = ["seq", "clave", "huella", "estado", "codigo"]
-        yield pd.DataFrame(answers, columns=columns).astype({"seq": "int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def idempotent_intake(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
-    """Outcome of every reserve event of a stream.
-
-    Events without a key carry no state: each gets a key of its own instead of sharing one.
-    Needs the RocksDB state store and this package on the workers' path. With a time to live, run
-    it continuously, or without empty batches, which would otherwise repeat to expire state
-    (both settings are in ``STATE_CONF``).
+    Each batch is replayed in blocks like a batch log, from the states that the batch before left,
+    so a key with any share of the events is spread over many tasks and never held in one. The
+    state is a row per key that isn't free. The result equals the batch replay of the whole log as
+    long as sequence numbers rise from batch to batch; a batch that runs again replaces its output.
     """
-    with_key = F.concat(F.lit("k:"), F.col("clave"))
-    own_key = F.concat(F.lit("n:"), F.col("seq").cast("string"))
-    keyed = events.filter(F.col("clave").isNotNull() | (F.col("accion") == RESERVE)).select(
-        "seq", "accion", F.coalesce(with_key, own_key).alias("_key"), "huella", "codigo"
-    )
-    answers = keyed.groupBy("_key").transformWithStateInPandas(
-        IntakeProcessor(ttl_ms), OUTPUT, "append", "processingTime" if ttl_ms else "none"
-    )
-    return answers.withColumn(
-        "clave", F.when(F.col("clave").startswith("k:"), F.expr("substring(clave, 3)"))
-    )
-
-
-STATE_CONF = {
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = materialize(batch)
+        before = previous(spark, state_path, batch_id, STATES)
+        replay_intake(arrived, block, before).write.mode("overwrite").parquet(
+            f"{answers_path}/lote={batch_id}"
+        )
+        advance(states_after(arrived, block, before), state_path, batch_id)
+
+    return (
+        events.writeStream.foreachBatch(answer)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-}
