@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from ticketlake.plans.oracle import ORACLE
-from ticketlake.plans.queries import QUERIES
+from ticketlake.plans.registry import QUERIES
 from ticketlake.plans.views import TABLES
 
 

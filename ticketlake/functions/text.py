@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters treated as white space, the byte-order mark, and the words
 # dropped from token lists.
@@ -89,10 +89,18 @@ def search_key(col: Column) -> Column:
     return strip(fold(F.regexp_replace(unnumbered, f"{WS}+", " ")))
 
 
-def tokens(col: Column) -> Column:
+def tokens(col: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words of two or more letters or digits, accent-free, without stop words."""
     words = F.regexp_extract_all(fold(text_or_empty(col)), F.lit(f"({TOKEN})"), F.lit(1))
-    return F.filter(words, lambda word: ~word.isin(*STOP_WORDS))
+    return F.filter(words, lambda word: ~word.isin(*stop_words)) if stop_words else words
+
+
+def load_stop_words(table: DataFrame, max_rows: int = 10_000) -> tuple[str, ...]:
+    """Stop words from a table ``(palabra)``, folded like tokens; more rows are an error."""
+    rows = table.select(fold(F.col("palabra")).alias("palabra")).distinct().limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a stop word table has more than {max_rows} rows")
+    return tuple(sorted(row["palabra"] for row in rows))
 
 
 def join_non_blank(separator: str, *cols: Column) -> Column:

@@ -18,6 +18,7 @@ SUBSECTION = rf"{_BLANK}*(\p{{Nd}}{{1,2}}\.\p{{Nd}}{{1,2}})\.{_BLANK}+({_LETTER}
 SECTION_START = rf"(?dm)^(?={SECTION})"
 SUBSECTION_START = rf"(?dm)^(?={SUBSECTION})"
 MIN_FRAGMENT = 20
+UNREADABLE, NO_SECTIONS, ALL_SHORT = "texto_ilegible", "sin_secciones", "secciones_cortas"
 
 
 def plain_lines(col: Column) -> Column:
@@ -107,6 +108,24 @@ def ingestion_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def unreadable_documents(docs: DataFrame) -> DataFrame:
-    """Names of the documents without readable text."""
-    return docs.filter(F.col("text").isNull()).select("file_name")
+def document_outcomes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, file_name, fragmentos, descartados, motivo)`` of every document.
+
+    The motive is null if the document gave fragments; otherwise its text was unreadable, it had no
+    numbered section, or all its sections were too short.
+    """
+    counts = chunk_sections(docs.filter(F.col("text").isNotNull())).groupBy("doc_id").agg(
+        F.count_if(~F.col("corto")).alias("fragmentos"),
+        F.count_if(F.col("corto")).alias("descartados"),
+    )
+    none = F.lit(0).cast("bigint")
+    return docs.join(counts, "doc_id", "left").select(
+        "doc_id",
+        "file_name",
+        F.coalesce("fragmentos", none).alias("fragmentos"),
+        F.coalesce("descartados", none).alias("descartados"),
+        F.when(F.col("text").isNull(), F.lit(UNREADABLE))
+        .when(F.col("fragmentos").isNull(), F.lit(NO_SECTIONS))
+        .when(F.col("fragmentos") == 0, F.lit(ALL_SHORT))
+        .alias("motivo"),
+    )

@@ -350,6 +350,16 @@ def _top_k(weights: str, query_weights: str, key: str, corpus: str) -> str:
     WHERE posicion <= 5"""
 
 
+CTES["largos"] = f"""
+    SELECT doc_id, len({_tokens('text')}) AS largo FROM documents"""
+CTES["frecuencias"] = "SELECT termino, count(*) AS df FROM terminos GROUP BY termino"
+CTES["pesos_okapi"] = """
+    SELECT doc_id, termino, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * largo
+           / (SELECT avg(largo) FROM largos))) AS peso FROM terminos JOIN largos USING (doc_id)"""
+CTES["pesos_pregunta_okapi"] = """
+    SELECT question_id, termino, tf * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) AS peso
+    FROM terminos_pregunta JOIN frecuencias USING (termino)"""
+CTES["top_okapi"] = _top_k("pesos_okapi", "pesos_pregunta_okapi", "doc_id", "documents")
 CTES["pesos_pregunta"] = _query_weights("idf")
 CTES["top_documentos"] = _top_k("pesos", "pesos_pregunta", "doc_id", "documents")
 
@@ -842,6 +852,53 @@ SELECTS: dict[str, str] = {
         CAST(sum(coalesce(tokens_entrada, 0)) AS BIGINT) AS tokens_entrada,
         CAST(sum(coalesce(tokens_salida, 0)) AS BIGINT) AS tokens_salida
         FROM operaciones GROUP BY ALL""",
+    # An empty value in a file reads as nothing.
+    "s1_read": "SELECT "
+    + ", ".join(f"nullif({name}, '') AS {name}" for name in TICKET_COLUMNS)
+    + " FROM tickets_crudos",
+    "w2_rows": """SELECT row_number() OVER (ORDER BY _row) AS _row, nullif(id, '') AS id,
+        nullif(fecha_creacion, '') AS fecha_creacion FROM tickets_crudos""",
+    "s2_clean": "SELECT "
+    + ", ".join(f"nullif(CAST({name} AS VARCHAR), '') AS {name}" for name in TICKET_COLUMNS)
+    + " FROM limpios",
+    "s3_quarantine": "SELECT *, 12 AS campos FROM cuarentena",
+    "s7_read": f"SELECT page_id, md5({_plain('html || chr(10)')}) AS texto_md5 FROM pages",
+    "s8_log": f"""SELECT seq, operacion AS evento, id_traza,
+        CASE WHEN descripcion IS NOT NULL THEN {_quote(metrics.REDACTED)} END AS descripcion,
+        CASE WHEN solicitante IS NOT NULL THEN {_quote(metrics.REDACTED)} END AS solicitante, latencia_ms,
+        3 AS extras FROM operaciones JOIN (SELECT seq, descripcion, solicitante FROM solicitudes_crudas)
+        USING (seq)""",
+    "p13_whole": rf"""SELECT count(*) AS filas, count(*) FILTER (util) AS conservadas,
+        count(*) FILTER (NOT util) AS nuevas, count(*) FILTER (NOT util) AS distintas,
+        count(*) FILTER (NOT util) AS con_forma FROM (
+        SELECT regexp_matches({_strip('id_traza')}, '^[\p{{L}}\p{{Nd}}\p{{Nl}}\p{{No}}_-]{{1,64}}$') AS util
+        FROM operaciones)""",
+    "a24_unreadable": """SELECT count(*) FILTER (doc_id % 50 <> 7) AS documentos_leidos,
+        (SELECT count(*) FROM cortes WHERE NOT corto AND doc_id % 50 <> 7) AS fragmentos,
+        (SELECT count(*) FROM cortes WHERE corto AND doc_id % 50 <> 7) AS descartados_por_cortos,
+        count(*) FILTER (doc_id % 50 = 7) AS documentos_ilegibles FROM politicas""",
+    "a24_outcomes": """SELECT doc_id, file_name, coalesce(f, 0) AS fragmentos, coalesce(d, 0) AS descartados,
+        CASE WHEN doc_id % 50 = 7 THEN 'texto_ilegible' WHEN f IS NULL THEN 'sin_secciones'
+             WHEN f = 0 THEN 'secciones_cortas' END AS motivo
+        FROM politicas LEFT JOIN (SELECT doc_id, count(*) FILTER (NOT corto) AS f,
+            count(*) FILTER (corto) AS d FROM cortes WHERE doc_id % 50 <> 7 GROUP BY doc_id) USING (doc_id)""",
+    "p2_table_catalog": """SELECT c_custkey, CASE WHEN c_custkey % 7 > 1
+        THEN upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) END AS valor,
+        CASE WHEN c_custkey % 7 = 0 THEN 'valor_fuera_de_catalogo' END AS motivo FROM customer""",
+    "t2_table_rules": f"""SELECT doc_id, coalesce(arg_min(r_name, n_nationkey), 'Otros') AS categoria
+        FROM (SELECT doc_id, {_key('text')} AS k FROM documents)
+        LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey)
+          ON contains(k, lower(substr(n_name, 1, 3))) GROUP BY doc_id""",
+    "t6_bm25": """SELECT question_id AS query_id, doc_key, round(puntaje, 4) AS puntaje, posicion
+        FROM top_okapi""",
+    "t8_prompt": f"""SELECT ticket_id, md5('<<<TICKET>>>' || chr(10) || replace(replace(t,
+        '<<<TICKET>>>', '< < <TICKET>>>'), '<<<FIN_TICKET>>>', '< < <FIN_TICKET>>>') || chr(10)
+        || '<<<FIN_TICKET>>>') AS entrada_md5
+        FROM (SELECT ticket_id, {_title_body('asunto', 'descripcion')} AS t FROM tickets_conversados)
+        WHERE t <> ''""",
+    "a19_gate": """SELECT count(*) AS categorias, round(avg(f1), 4) AS macro_f1,
+        coalesce(round(avg(f1), 4) >= 0.70, false) AS aprueba FROM por_clase""",
+    "r4_reminders": "SELECT id_ticket, codigo, dias_habiles, tipo, fecha FROM vencidos",
     "w9_business_days": "SELECT id_ticket, dias_habiles, tipo FROM vencidos",
     "j5_reminders": """SELECT id_ticket, codigo, tipo, fecha FROM vencidos WHERE id_ticket % 3 <> 0""",
 }
@@ -872,4 +929,12 @@ def _with(sql: str) -> str:
     return f"WITH {shared}\n{sql}"
 
 
+#: Streams are checked by the statements of their batch twins.
+for _stream, _twin in (
+    ("r1_stream", "r1_intake_batch"), ("r2_stream", "r2_metrics_batch"),
+    ("r2_latency_stream", "a11_latency"), ("r3_stream", "t3_model_output"),
+    ("r5_stream", "w1_dedup_clean"), ("r5_rejects", "w10_quarantine"),
+):
+    SELECTS[_stream] = SELECTS[_twin]
+
 ORACLE: dict[str, str] = {name: _with(sql) for name, sql in SELECTS.items()}
