@@ -236,3 +236,10 @@ def test_packing_odd_rows(spark):
     assert sorted(r["length"] for r in found if r["doc_id"] in (3, 4)) == [1, 1]
     assert all(r["length"] == 256 for r in found if r["piece"] > 0)
     assert packing.pack_documents(empty_documents(spark)).count() == 0
+
+
+def test_many_leaves_are_joined(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = sorted(r["doc_id"] for r in mixing.mix_documents(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 3)
+    assert sorted(r["doc_id"] for r in mixing.mix_documents(docs).collect()) == few

@@ -24,11 +24,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ticketlake.llm.common import running_position, settle, whole_text
+from ticketlake.llm.common import running_position, settle, spread_join, whole_text
 
 #: The sources' domains go by the number in their names.
 DOMAINS = ("web", "news", "forum", "books")
 LEVELS = ("domain", "language", "source")
+#: Leaves of a few numbers each that may be broadcast: some ten megabytes.
+BROADCAST_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -128,14 +130,14 @@ def allocate(documents: DataFrame, mixture: Mixture) -> DataFrame:
         able = able.filter(mixture.weight(level) > 0)
     able = able.withColumn("capacity", (F.col("leaf_tokens") * mixture.max_epochs).cast(kind))
     whole = F.lit(mixture.budget) if mixture.budget is not None else F.sum("leaf_tokens")
-    budgets = leaves.agg(F.coalesce(whole, F.lit(0)).cast(kind).alias("budget"))
+    total = leaves.agg(F.coalesce(whole, F.lit(0)).cast(kind)).scalar()
     parents: list[str] = []
     for level in LEVELS:
         nodes = able.groupBy(*parents, level).agg(F.sum("capacity").cast(kind).alias("capacity"))
         if parents:
             nodes = nodes.join(budgets.select(*parents, "budget"), parents)
         else:
-            nodes = nodes.crossJoin(F.broadcast(budgets))  # one row: the whole budget
+            nodes = nodes.withColumn("budget", total)
         budgets = _share(nodes, parents, level, mixture)
         parents = [*parents, level]
     return leaves.join(budgets, list(LEVELS), "left").select(
@@ -159,7 +161,7 @@ def select_documents(documents: DataFrame, mixture: Mixture | None = None) -> Da
     """
     mixture = mixture or Mixture()
     leaves = _epochs(allocate(documents, mixture))
-    planned = documents.join(leaves, list(LEVELS)).withColumn(
+    planned = spread_join(documents, leaves, LEVELS, F.col("doc_id")).withColumn(
         "_key", order_key(F.col("_whole") + 1, mixture.seed)
     )
     placed = running_position(planned, LEVELS, ["_key", "doc_id", "tokens"], F.col("tokens"), "_start")
@@ -182,14 +184,15 @@ def mix_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
     """The rows of ``docs`` as often as they are read, whole, with their columns as they are.
 
     The last epoch of a leaf ends at a place in its order, so every row is judged by its own key
-    against one row per leaf; no text is shuffled unless the leaves outgrow a broadcast.
+    against one row per leaf. The leaves are counted: up to ``BROADCAST_LEAVES`` they are broadcast
+    and no text is shuffled, beyond that they meet the rows in a join that splits every leaf.
     """
     mixture = mixture or Mixture()
     documents = settle(leveled(docs))
     leaves = settle(_epochs(allocate(documents, mixture)))
     ends = (
         running_position(
-            documents.join(leaves, list(LEVELS)).withColumn(
+            spread_join(documents, leaves, LEVELS, F.col("doc_id")).withColumn(
                 "_key", order_key(F.col("_whole") + 1, mixture.seed)
             ),
             LEVELS, ["_key", "doc_id", "tokens"], F.col("tokens"), "_start",
@@ -198,8 +201,11 @@ def mix_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
         .groupBy(*LEVELS)
         .agg(F.max(F.struct("_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("_end"))
     )
-    cuts = leaves.join(ends, list(LEVELS), "left").select(
-        *[F.col(c).alias(f"_{c}") for c in LEVELS], "_whole", "_end"
+    names = [f"_{c}" for c in LEVELS]
+    cuts = settle(
+        leaves.join(ends, list(LEVELS), "left").select(
+            *[F.col(c).alias(f"_{c}") for c in LEVELS], "_whole", "_end"
+        )
     )
     named = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns],
@@ -207,14 +213,17 @@ def mix_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
         F.coalesce(F.col("lang"), F.lit("")).alias("_language"),
         F.coalesce(F.col("source"), F.lit("")).alias("_source"),
     )
+    if cuts.count() <= BROADCAST_LEAVES:
+        met = named.join(F.broadcast(cuts), names)
+    else:
+        met = spread_join(named, cuts, names, F.col("doc_id"))
     own = F.struct(
         order_key(F.col("_whole") + 1, mixture.seed).alias("_key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
     )
     times = F.col("_whole") + F.coalesce(own <= F.col("_end"), F.lit(False)).cast("int")
     return (
-        named.join(cuts, [f"_{c}" for c in LEVELS])
-        .withColumn("_times", times)
+        met.withColumn("_times", times)
         .filter("_times > 0")
         .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
