@@ -232,23 +232,29 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     The edited text's last half is replaced by the beginning of the next document. Texts are
     shuffled by id once; the next document sends its signature and the part that is needed.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    ring = neighbours(texts)
-    placed = texts.join(ring.select("doc_id", "prev_id", "prev_half"), "doc_id", "left")
-    nexts = placed.filter("prev_id is not null").select(
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    # Both joins by id read the same rows in the same way, so their shuffle of the texts is one.
+    named = texts.filter("doc_id is not null")
+    ring = neighbours(named)
+    nexts = named.join(ring.select("doc_id", "prev_id", "prev_half"), "doc_id").select(
         "doc_id", "prev_id", F.expr("left(text, cast(prev_half as int))").alias("beginning"), "text"
     )
     least = nexts.groupBy("doc_id").agg(F.min(F.struct("text", "prev_id", "beginning")).alias("least")).select(
         F.col("least.prev_id").alias("doc_id"), F.col("least.beginning").alias("beginning"), F.col("least.text").alias("text")
     )
     sent = with_signatures(least, {"next_signature": F.col("text")}, k).drop("text")
-    both = texts.join(sent, "doc_id", "left").select(
+    apart = texts.filter("doc_id is null").select(
+        "*", F.lit("").alias("beginning"), F.lit(None).cast("array<int>").alias("next_signature")
+    )
+    both = named.join(sent, "doc_id").unionByName(apart).select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         "text",
         F.expr(
             "concat(left(text, length(text) - length(text) div 2),"
-            " left(coalesce(beginning, ''), cast(length(text) div 2 as int)))"
+            " left(beginning, cast(length(text) div 2 as int)))"
         ).alias("edited"),
         "next_signature",
     )
