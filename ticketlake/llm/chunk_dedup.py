@@ -27,7 +27,7 @@ from ticketlake.llm.common import settle, whole_text
 MIN_CHUNK = 16
 MAX_CHUNK = 1024
 #: One place in 2**CUT_BITS is a candidate.
-CUT_BITS = 5
+CUT_BITS = 4
 MIN_SPAN = 100
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
