@@ -74,7 +74,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cores = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES")
-    deadline = time.time() + float(os.environ.get("BENCH_BUDGET_SEC", "600"))
+    deadline = time.time() + float(os.environ.get("BENCH_BUDGET_SEC", "420"))
     rest = [name for name in QUERIES if name not in HEADLINE]
     names = chosen.split(",") if chosen else [*HEADLINE, *rest]
     log = Path(tempfile.mkdtemp(prefix="bench-log-"))
@@ -96,7 +96,7 @@ def main() -> None:
     if not chosen and os.path.isdir(smaller):
         small = {f"{name}@small": run for name, run in SETUP.items()}
         small |= {f"{name}@small": QUERIES[name] for name in HEADLINE}
-        small_spans = timed(spark, small, smaller, time.time() + 120)
+        small_spans = timed(spark, small, smaller, time.time() + 60)
     spark.stop()
     mb = shuffled_mb(log, main_spans | small_spans)
     timings = seconds(main_spans)

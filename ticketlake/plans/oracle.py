@@ -904,6 +904,12 @@ SELECTS: dict[str, str] = {
 }
 
 
+#: Steps that later ones read several times.
+_SHARED = (
+    "buscados", "revisados", "validos", "puntuados", "plegados", "decididos", "duplicados", "limpios",
+)
+
+
 def _with(sql: str) -> str:
     """The statement preceded by the common table expressions it depends on."""
     ordered: list[str] = []
@@ -921,7 +927,9 @@ def _with(sql: str) -> str:
     need(sql)
     if not ordered:
         return sql
-    shared = ",\n".join(f"{name} AS ({CTES[name]})" for name in ordered)
+    shared = ",\n".join(
+        f"{name} AS {'MATERIALIZED ' if name in _SHARED else ''}({CTES[name]})" for name in ordered
+    )
     if sql.startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {shared},\n{sql.removeprefix('WITH RECURSIVE ')}"
     if sql.startswith("WITH "):
