@@ -9,7 +9,7 @@ import tokenizers
 from corpus import documents, empty_documents, odd_documents, rows, words
 from pyspark.sql import functions as F
 
-from ticketlake.llm import mixing, packing
+from ticketlake.llm import common, mixing, packing
 from ticketlake.llm.common import running_position, settle, spread
 from ticketlake.llm.oracle import mixing_sql
 
@@ -241,5 +241,5 @@ def test_packing_odd_rows(spark):
 def test_many_leaves_are_joined(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     few = sorted(r["doc_id"] for r in mixing.mix_documents(docs).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
     assert sorted(r["doc_id"] for r in mixing.mix_documents(docs).collect()) == few

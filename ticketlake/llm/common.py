@@ -72,22 +72,32 @@ def bucket_count(rows: Column) -> Column:
     return F.ceil(F.sqrt(rows.cast("double"))).cast("bigint")
 
 
-#: Parts that the rows of one key are dealt into where they meet a small table by that key.
+#: A table of at most so many rows of a few numbers each, some ten megabytes, is broadcast.
+BROADCAST_ROWS = 100_000
+#: Parts that the rows of one key are dealt into where they meet a larger table by that key.
 PARTS = 64
 
 
-def spread_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], by: Column) -> DataFrame:
-    """Inner join of ``rows`` with one row per key of ``small``, null keys equal.
+def small_join(
+    rows: DataFrame, small: DataFrame, keys: Sequence[str], by: Column, how: str = "inner"
+) -> DataFrame:
+    """Join of ``rows`` with one row per key of ``small``, null keys equal.
 
-    A key may hold any share of the rows: they are dealt into ``PARTS`` parts by a hash of ``by``,
-    and the row of ``small`` is repeated for each part.
+    A key may hold any share of the rows. ``small`` is checkpointed and counted: up to
+    ``BROADCAST_ROWS`` it is broadcast and the rows stay where they are; beyond that they are dealt
+    into ``PARTS`` parts by a hash of ``by``, and the row of ``small`` is repeated for each part.
     """
-    dealt = rows.withColumn("_dealt", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
-    copies = small.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_dealt"]]
+    small = settle(small)
     added = [F.col(f"s.{c}") for c in small.columns if c not in keys]
     kept = [F.col(f"r.`{c}`") for c in rows.columns]
-    return dealt.alias("r").join(copies.alias("s"), same).select(*kept, *added)
+    if small.count() <= BROADCAST_ROWS:
+        dealt, copies, on = rows, F.broadcast(small), list(keys)
+    else:
+        dealt = rows.withColumn("_dealt", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+        copies = small.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        on = [*keys, "_dealt"]
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in on]
+    return dealt.alias("r").join(copies.alias("s"), same, how).select(*kept, *added)
 
 
 def running_position(
@@ -104,7 +114,7 @@ def running_position(
     keys = list(keys)
     counted = df.groupBy(*keys).agg(bucket_count(F.count("*")).alias("_buckets"))
     dealt = (
-        spread_join(df, counted, keys, F.col(order[0]))
+        small_join(df, counted, keys, F.col(order[0]))
         .withColumn("_weight", weight.cast("bigint"))
         .withColumn(
             "_bucket",

@@ -24,13 +24,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ticketlake.llm.common import running_position, settle, spread_join, whole_text
+from ticketlake.llm.common import running_position, settle, small_join, whole_text
 
 #: The sources' domains go by the number in their names.
 DOMAINS = ("web", "news", "forum", "books")
 LEVELS = ("domain", "language", "source")
-#: Leaves of a few numbers each that may be broadcast: some ten megabytes.
-BROADCAST_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -161,7 +159,7 @@ def select_documents(documents: DataFrame, mixture: Mixture | None = None) -> Da
     """
     mixture = mixture or Mixture()
     leaves = _epochs(allocate(documents, mixture))
-    planned = spread_join(documents, leaves, LEVELS, F.col("doc_id")).withColumn(
+    planned = small_join(documents, leaves, LEVELS, F.col("doc_id")).withColumn(
         "_key", order_key(F.col("_whole") + 1, mixture.seed)
     )
     placed = running_position(planned, LEVELS, ["_key", "doc_id", "tokens"], F.col("tokens"), "_start")
@@ -184,15 +182,14 @@ def mix_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
     """The rows of ``docs`` as often as they are read, whole, with their columns as they are.
 
     The last epoch of a leaf ends at a place in its order, so every row is judged by its own key
-    against one row per leaf. The leaves are counted: up to ``BROADCAST_LEAVES`` they are broadcast
-    and no text is shuffled, beyond that they meet the rows in a join that splits every leaf.
+    against one row per leaf, and no text is shuffled as long as the leaves can be broadcast.
     """
     mixture = mixture or Mixture()
     documents = settle(leveled(docs))
     leaves = settle(_epochs(allocate(documents, mixture)))
     ends = (
         running_position(
-            spread_join(documents, leaves, LEVELS, F.col("doc_id")).withColumn(
+            small_join(documents, leaves, LEVELS, F.col("doc_id")).withColumn(
                 "_key", order_key(F.col("_whole") + 1, mixture.seed)
             ),
             LEVELS, ["_key", "doc_id", "tokens"], F.col("tokens"), "_start",
@@ -202,10 +199,8 @@ def mix_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
         .agg(F.max(F.struct("_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("_end"))
     )
     names = [f"_{c}" for c in LEVELS]
-    cuts = settle(
-        leaves.join(ends, list(LEVELS), "left").select(
-            *[F.col(c).alias(f"_{c}") for c in LEVELS], "_whole", "_end"
-        )
+    cuts = leaves.join(ends, list(LEVELS), "left").select(
+        *[F.col(c).alias(f"_{c}") for c in LEVELS], "_whole", "_end"
     )
     named = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns],
@@ -213,17 +208,14 @@ def mix_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
         F.coalesce(F.col("lang"), F.lit("")).alias("_language"),
         F.coalesce(F.col("source"), F.lit("")).alias("_source"),
     )
-    if cuts.count() <= BROADCAST_LEAVES:
-        met = named.join(F.broadcast(cuts), names)
-    else:
-        met = spread_join(named, cuts, names, F.col("doc_id"))
     own = F.struct(
         order_key(F.col("_whole") + 1, mixture.seed).alias("_key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
     )
     times = F.col("_whole") + F.coalesce(own <= F.col("_end"), F.lit(False)).cast("int")
     return (
-        met.withColumn("_times", times)
+        small_join(named, cuts, names, F.col("doc_id"))
+        .withColumn("_times", times)
         .filter("_times > 0")
         .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ticketlake.llm.common import settle, whole_text
+from ticketlake.llm.common import settle, small_join, whole_text
 from ticketlake.llm.order_minhash import _left, _right, words_of
 
 MIN_ROWS = 200
@@ -43,6 +43,11 @@ DIMENSIONS = len(FLOORS)
 _X = [f"x{k}" for k in range(DIMENSIONS)]
 
 
+def _any() -> Column:
+    """What the rows of a group are spread by where they meet a row about their group."""
+    return F.struct(*_X)
+
+
 def with_statistics(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` that matter and each text's statistics.
 
@@ -144,16 +149,15 @@ def with_group(df: DataFrame) -> DataFrame:
         .withColumn("_own", F.col("count") >= MIN_ROWS)
         .withColumn("_pooled", ~F.col("_own") & (F.col("_language_rows") >= MIN_ROWS))
     )
-    rest = named.agg(
-        F.coalesce(F.sum(F.when(~F.col("_own") & ~F.col("_pooled"), F.col("count"))), F.lit(0)).alias("_rest")
-    )
+    apart = F.sum(F.when(~F.col("_own") & ~F.col("_pooled"), F.col("count")))
+    rest = named.agg(F.coalesce(apart, F.lit(0))).scalar()
     label = (
         F.when(F.col("_own"), F.to_json(F.array("language", "source")))
         .when(F.col("_pooled"), F.to_json(F.array("language")))
-        .when(F.col("_rest") >= MIN_ROWS, F.lit("[]"))
+        .when(rest >= MIN_ROWS, F.lit("[]"))
     )
-    labels = named.crossJoin(F.broadcast(rest)).select("language", "source", label.alias("grp"))
-    return df.join(labels, ["language", "source"], "left")
+    labels = named.select("language", "source", label.alias("grp"))
+    return small_join(df, labels, ["language", "source"], _any(), "left")
 
 
 def _quantile_bins(rows: DataFrame, keys: list[str], bin_name: str, shares: dict[str, float]) -> DataFrame:
@@ -204,7 +208,7 @@ def _cholesky(moments: DataFrame) -> DataFrame:
 
 def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds ``d2``, the squared Mahalanobis distance, by forward substitution."""
-    out = rows.join(estimate, "grp", "left")
+    out = small_join(rows, estimate, ["grp"], _any(), "left")
     for i in range(DIMENSIONS):
         rest = reduce(
             lambda a, b: a - b,
@@ -225,7 +229,7 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
             "bin", F.floor(F.log(F.greatest("d2", F.lit(1e-9))) / 0.02)
         )
         limits = _quantile_bins(near, ["grp"], "bin", {"limit": SUBSET})
-        nearest = near.join(limits, "grp").filter("bin <= limit")
+        nearest = small_join(near, limits, ["grp"], _any()).filter("bin <= limit")
         moments = nearest.groupBy("grp").agg(
             F.count("*").alias("n"),
             *[F.sum(x).alias(f"s{k}") for k, x in enumerate(_X)],
