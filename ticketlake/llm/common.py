@@ -39,8 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: ends the lineage and survives lost executors."""
+#: Files that a small table is checkpointed in at most.
+SMALL_PARTS = 8
+
+
+def settle(df: DataFrame, small: bool = False) -> DataFrame:
+    """Checkpoint in the shared folder: ends the lineage and survives lost executors.
+
+    A ``small`` table (a row per group, leaf or length) goes to few files, however many partitions
+    the shuffle before it had.
+    """
+    if small:
+        df = df.coalesce(SMALL_PARTS)
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
@@ -87,7 +97,7 @@ def small_join(
     ``BROADCAST_ROWS`` it is broadcast and the rows stay where they are; beyond that they are dealt
     into ``PARTS`` parts by a hash of ``by``, and the row of ``small`` is repeated for each part.
     """
-    small = settle(small)
+    small = settle(small, small=True)
     added = [F.col(f"s.{c}") for c in small.columns if c not in keys]
     kept = [F.col(f"r.`{c}`") for c in rows.columns]
     if small.count() <= BROADCAST_ROWS:

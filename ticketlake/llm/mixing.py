@@ -186,7 +186,7 @@ def mix_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
     """
     mixture = mixture or Mixture()
     documents = settle(leveled(docs))
-    leaves = settle(_epochs(allocate(documents, mixture)))
+    leaves = settle(_epochs(allocate(documents, mixture)), small=True)
     ends = (
         running_position(
             small_join(documents, leaves, LEVELS, F.col("doc_id")).withColumn(

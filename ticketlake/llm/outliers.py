@@ -222,7 +222,7 @@ def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Centre and Cholesky factor by group: the start and ``steps`` concentration steps."""
-    found = settle(_start(rows))
+    found = settle(_start(rows), small=True)
     products = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
     for _ in range(steps):
         near = _with_distance(rows, found).withColumn(
@@ -235,7 +235,7 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
             *[F.sum(x).alias(f"s{k}") for k, x in enumerate(_X)],
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in products],
         )
-        found = settle(_cholesky(moments))
+        found = settle(_cholesky(moments), small=True)
     return found
 
 
