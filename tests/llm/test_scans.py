@@ -168,6 +168,22 @@ def test_disguises(text, kind, source):
     assert [(k, text[a:b]) for a, k, b in spans] == ([(kind, source)] if kind else [])
 
 
+@pytest.mark.parametrize(
+    "text,remnant,source",
+    [
+        ("so jоhn.smith@example.com it is", "hn.smith@example.com", "jоhn.smith@example.com"),
+        ("to john@example.cоm, please", "john@example.c", "john@example.cоm"),
+        ("to john@mail.example [dot] com now", "john@mail.example", "john@mail.example [dot] com"),
+    ],
+)
+def test_disguises_that_hold_a_base_match(spark, text, remnant, source):
+    base, spans = pii.all_spans(text)
+    assert [text[a:b] for a, _, b in base] == [remnant]
+    assert set(base) < set(spans) and source in [text[a:b] for a, _, b in spans]
+    redacted = rows(pii.redact_documents(documents(spark, {1: text})))[0]["text"]
+    assert redacted == text.replace(source, "[EMAIL]")
+
+
 def test_clean_text_gets_no_spans():
     assert all(pii.all_spans(words(k, 3000)) == ([], []) for k in range(5))
 

@@ -4,8 +4,8 @@ The base kinds are found in the text as it stands. Then a transducer rewrites di
 characters become the ASCII characters they imitate, spelled digits become digits, and "at" and
 "dot" in brackets (or bare between the parts of an address) become @ and a full stop. Every
 rewritten character remembers the source characters it came from, so that an identifier found in
-the rewritten text maps back to a span of the source. Spans that don't overlap a base span of any
-kind are added to the base spans, which always stay.
+the rewritten text maps back to a span of the source. Spans that differ from every base span are
+added to the base spans, which always stay: a disguise often leaves a base match on a part of itself.
 
 Defined results: null and empty texts have no spans; null ids and repeated rows are treated like
 any other row; other columns are left alone; an empty table gives an empty result.
@@ -217,10 +217,11 @@ def all_spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, st
     changed = rewritten(text)
     if changed.text == text:
         return base, base
-    added = []
+    known, added = set(base), []
     for start, kind, end in base_spans(changed.text):
         first, last = changed.span(start, end)
-        if all(last <= a or b <= first for a, _, b in [*base, *added]):
+        if (first, kind, last) not in known:
+            known.add((first, kind, last))
             added.append((first, kind, last))
     return base, sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
