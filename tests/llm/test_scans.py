@@ -184,6 +184,45 @@ def test_disguises_that_hold_a_base_match(spark, text, remnant, source):
     assert redacted == text.replace(source, "[EMAIL]")
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "jane@example dot com",
+        "jane [at] example dot com",
+        "jane at example [dot] com",
+        "jane at example dot dev",
+        "jane at example dot co dot uk",
+        "john dot smith@example.com",
+        "john dot smith at example.com",
+        "jane [  at  ] example.com",
+        "jane(   at   )example [  punkt  ] museum",
+        "jane\t@example.com",
+        "jane @ example dot com",
+        "jane at example d\u200bot app",
+    ],
+)
+def test_mixed_disguises(source):
+    text = f"So, {source}, please"
+    assert ("email", source) in [(k, text[a:b]) for a, k, b in pii.all_spans(text)[1]]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "we met at noon dot matrix", "a @ b", "to bob@a.com dot Then"])
+def test_signs_in_prose_stay(text):
+    base, spans = pii.all_spans(text)
+    assert base == spans
+
+
+def test_hints_rule_nothing_out():
+    draw = random.Random(4)
+    pieces = ["[", " ", "  ", "(", "at", "@", "dot", "punkt", ".", "]", ")", "&#64;", "&period;", "%40", "\t", "\n", "x", "plus", "one", "7"]
+    for _ in range(20_000):
+        text = "".join(draw.choices(pieces, k=draw.randint(2, 9)))
+        if any(p.search(text) for p in (pii._AT, pii._DOT)) or any(len(m[0]) > 1 for m in pii._LOOSE_AT.finditer(text)):
+            assert pii._SIGN_HINT.search(text), text
+        if pii._PLUS.search(text) or pii._SPELLED.search(text) and pii._SPELLED_PART.search(text):
+            assert pii._DIGIT_HINT.search(text), text
+
+
 def test_clean_text_gets_no_spans():
     assert all(pii.all_spans(words(k, 3000)) == ([], []) for k in range(5))
 

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketlake.llm.common import whole_text
+from ticketlake.llm.top_domains import TOP_DOMAINS
 
 #: The kinds in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -48,12 +49,6 @@ DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
-#: An address spoken without brackets must end in one of these.
-TOP_DOMAINS = (
-    "com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "uk", "us", "eu", "de", "fr",
-    "es", "it", "nl", "ch", "at", "be", "pl", "ru", "cn", "jp", "in", "br", "mx", "ca", "au",
-)
-
 _WORD = "|".join(DIGIT_WORDS)
 _NUMBER = rf"(?:{_WORD}|[0-9]++)"
 _GAP = r"[\s,.()+-]{1,3}(?:double[\s-]|triple[\s-])?"
@@ -65,21 +60,30 @@ _SPOKEN_IP = re.compile(
 )
 _SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
 _BRACKET = r"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{})\s{{0,3}}[\])}}>]\s{{0,3}}"
-_AT = re.compile(_BRACKET.format("at|@") + r"|&#0*64;|&commat;|%40", re.I)
-_DOT = re.compile(_BRACKET.format(r"dot|punkt|point|punto|\.") + r"|&#0*46;|&period;", re.I)
+_AT_WORDS, _AT_CODES = "at|@", r"&#0*64;|&commat;|%40"
+_DOT_WORDS, _DOT_CODES = r"dot|punkt|point|punto|\.", r"&#0*46;|&period;"
+_AT = re.compile(f"{_BRACKET.format(_AT_WORDS)}|{_AT_CODES}", re.I)
+_DOT = re.compile(f"{_BRACKET.format(_DOT_WORDS)}|{_DOT_CODES}", re.I)
+_LOOSE_AT = re.compile(r"(?<=[A-Za-z0-9])\s{0,2}@\s{0,2}(?=[A-Za-z0-9-]+\.[A-Za-z0-9])")
 _PART = r"[A-Za-z0-9_%+-]++"
+_ANY_DOT = r"(?:\.|\s++dot\s++)"
+# Matches every word with the dots that follow it, so that a text is read once; the group ``at`` is
+# there if it is an address. Bracketed signs are literal ones by then.
 _BARE = re.compile(
-    rf"(?<![A-Za-z0-9_%+-]){_PART}(?:(?:\.|\s+dot\s+){_PART}){{0,4}}\s+at\s+"
-    rf"[A-Za-z0-9-]++(?:\s+dot\s+[A-Za-z0-9-]++){{0,4}}?\s+dot\s+(?:{'|'.join(TOP_DOMAINS)})(?![A-Za-z0-9-])",
+    rf"{_PART}(?:{_ANY_DOT}{_PART})*+"
+    rf"(?:(?P<at>\s{{0,2}}@\s{{0,2}}|\s+at\s+)(?P<domain>[A-Za-z0-9-]++(?:{_ANY_DOT}[A-Za-z0-9-]++)++))?",
     re.I,
 )
-_BARE_SIGN = re.compile(r"\s+(at|dot)\s+", re.I)
+_BARE_SIGN = re.compile(r"\s+(at|dot)\s+|\s{0,2}(@)\s{0,2}", re.I)
+_LABEL = re.compile(rf"({_ANY_DOT})([A-Za-z0-9-]++)", re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus\s+(?=[0-9])", re.I)
-_LOOSE_AT = re.compile(r"(?<=[A-Za-z0-9])\s{0,2}@\s{0,2}(?=[A-Za-z0-9-]+\.[A-Za-z0-9])")
 _HIDDEN = re.compile("[­​-‍⁠﻿]+")
-#: Without one of these strings (lower case) no sign or digit of an ASCII text is disguised.
-_SIGN_HINTS = ("@ ", " @", "@\n", "\n@", "&#", "&commat", "&period", "%40", "dot", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "{@", "<@", "[.", "(.", "punkt", "point", "punto")
-_DIGIT_HINTS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "zero", "plus ")
+# What a text must hold for a pattern above to match, made of the same parts.
+_SIGN_HINT = re.compile(
+    rf"[\[({{<]\s{{0,3}}(?:{_AT_WORDS}|{_DOT_WORDS})|{_AT_CODES}|{_DOT_CODES}|\s@|@\s", re.I
+)
+_DOT_HINT = re.compile("dot", re.I)
+_DIGIT_HINT = re.compile(rf"\b(?:{_WORD})\b|plus\s", re.I)
 
 
 def _digits(run: str) -> str:
@@ -134,7 +138,7 @@ class Rewritten:
         self.first = range(len(text))
         self.last = range(1, len(text) + 1)
 
-    def replace(self, pattern: re.Pattern, put) -> None:
+    def replace(self, pattern: re.Pattern, put) -> bool:
         """Rewrites each match by ``put(match)``; the new characters share the match's source span."""
         parts, first, last, done = [], [], [], 0
         for match in pattern.finditer(self.text):
@@ -151,6 +155,7 @@ class Rewritten:
             self.text = "".join([*parts, self.text[done:]])
             self.first = [*first, *self.first[done:]]
             self.last = [*last, *self.last[done:]]
+        return bool(parts)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         return self.first[start], self.last[end - 1]
@@ -186,26 +191,56 @@ def _spoken_ip(match: re.Match) -> str:
     return re.sub(r"\s", "", _spoken(_SPOKEN_DOT.sub(".", match[0])))
 
 
+def _domain_end(match: re.Match, general: bool) -> int | None:
+    """Where the domain of an address with bare signs ends.
+
+    That is after the last label that is a top domain, and never before a label behind a literal
+    dot. Without one, an address with a literal sign may end in any label; a wholly bare one is prose.
+    """
+    start, end = match.start("domain"), None
+    for label in _LABEL.finditer(match["domain"]):
+        name = label[2].lower()
+        if label[1] == "." or name in TOP_DOMAINS or name.startswith("xn--"):
+            end = start + label.end()
+    return end if end or not general else match.end("domain")
+
+
+def _bare_signs(out: Rewritten) -> dict[int, str]:
+    """Starts of the bare signs inside addresses. A bare "at" takes a disguised dot beside it: "at
+    example.com" is prose."""
+    signs = {}
+    for match in _BARE.finditer(out.text):
+        if match["at"] is None:
+            continue
+        bracketed = any(
+            out.text[k] == "." and out.last[k] - out.first[k] > 1 for k in range(match.start(), match.end())
+        )
+        strong = "@" in match["at"] or bracketed
+        if not strong and not _SPOKEN_DOT.search(match[0]):
+            continue
+        end = _domain_end(match, strong)
+        for sign in _BARE_SIGN.finditer(out.text, match.start(), end or match.start()):
+            signs[sign.start()] = "." if sign[1] and sign[1].lower() == "dot" else "@"
+    return signs
+
+
 def rewritten(text: str) -> Rewritten:
     """The transducers in turn: characters, signs, bare addresses, spelled digits."""
     if not text.isascii():
         unusual = {ord(c): p for c in set(text) if not c.isascii() and (p := _plain_character(c)) != c}
         text = text.translate(unusual) if unusual else text
-    out, lower = Rewritten(text), text.lower()
+    out, dots = Rewritten(text), False
     out.replace(_HIDDEN, lambda m: "")
-    if any(hint in lower for hint in _SIGN_HINTS):
+    if _SIGN_HINT.search(out.text):
         out.replace(_AT, lambda m: "@")
-        out.replace(_DOT, lambda m: ".")
+        dots = out.replace(_DOT, lambda m: ".")
         out.replace(_LOOSE_AT, lambda m: "@" if len(m[0]) > 1 else None)
-        if "dot" in lower:
-            inside = {
-                m.start() + sign.start() for m in _BARE.finditer(out.text) for sign in _BARE_SIGN.finditer(m[0])
-            }
-            if inside:
-                signs = {"at": "@", "dot": "."}
-                out.replace(_BARE_SIGN, lambda m: signs[m[1].lower()] if m.start() in inside else None)
-            out.replace(_SPOKEN_IP, _spoken_ip)
-    if any(hint in lower for hint in _DIGIT_HINTS):
+    if dots or _DOT_HINT.search(out.text):
+        signs = _bare_signs(out)
+        if signs:
+            out.replace(_BARE_SIGN, lambda m: signs.get(m.start()) if m[0] != "@" else None)
+        out.replace(_SPOKEN_IP, _spoken_ip)
+    if _DIGIT_HINT.search(out.text):
         out.replace(_SPELLED, _spelled)
         out.replace(_PLUS, lambda m: "+")
     return out
