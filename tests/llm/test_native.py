@@ -179,6 +179,32 @@ def test_verdicts_against_labels(spark):
     assert counts[(0, False)] >= 0.8 * (counts[(0, False)] + counts.get((0, True), 0))
 
 
+def test_low_quality_is_rejected(spark):
+    """At least 95 % of what the base rule leaves."""
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 0")
+    judged = QUERIES["op9_mcd_outliers"](spark, sf_dir).filter("not base_failed").join(labels, "doc_id")
+    counts = {r["kept"]: r["count"] for r in rows(judged.groupBy("kept").count())}
+    assert counts[False] >= 0.95 * sum(counts.values())
+
+
+def test_repeated_lines_and_words_among_clean_texts(spark):
+    """48 % repeated lines and 40 % repeated words, where clean texts have neither."""
+
+    def word(k):
+        return f"w{k:04d}"
+
+    clean = {k: "\n".join(" ".join(word(200 * k % 9000 + 8 * i + j) for j in range(8)) for i in range(25)) for k in range(300)}
+    phrase = "alpha bravo delta gamma kappa sigma"
+    own = [f"{word(i)} {phrase} {word(50 + i)}" if i < 16 else " ".join(word(100 + 7 * i + j) for j in range(7)) for i in range(25)]
+    bad = "\n".join(f"{line}\nagain lines" for line in own)
+    found = {r["doc_id"]: r for r in rows(outliers.judge_documents(documents(spark, clean | {900: bad})))}
+    r = found.pop(900)
+    assert (r["n_dup_lines"], r["n_repeat_words"], r["n_words"]) == (24, 96, 241)
+    assert not r["base_failed"] and not r["kept"]
+    assert all(r["kept"] for r in found.values())
+
+
 def test_outliers_odd_rows(spark):
     found = rows(outliers.judge_documents(odd_documents(spark)))
     assert len(found) == 14

@@ -6,7 +6,7 @@ repeated words. For the documents of a language and source, the minimum covarian
 looks for the three quarters of them whose covariance is smallest: from a start by coordinate
 medians and quartiles, concentration steps take the rows nearest to the centre and estimate centre
 and covariance anew. A document is rejected if its squared Mahalanobis distance from that estimate
-is beyond what one normal document in a million reaches.
+is beyond what one normal document in ten thousand reaches.
 
 Everything per group is a partially aggregated sum, a histogram of bounded size, or one row, so a
 group may hold any share of the documents. Groups below ``MIN_ROWS`` documents are pooled by
@@ -34,10 +34,11 @@ SUBSET = 0.75
 #: with X5's quantile q = 6.626 of 0.75 (X: chi-squared).
 CONSISTENCY = 1.41
 STEPS = 3
-#: Chi-squared quantile of 5 degrees of freedom at 1 - 1e-6.
-CUTOFF = 38.0
+#: Chi-squared quantile of 5 degrees of freedom at 1 - 1e-4.
+CUTOFF = 25.74
 #: Standard deviations below which a statistic's spread within a group isn't taken at its word:
-#: shares that are zero nearly everywhere would else make any other value an outlier.
+#: shares that are zero nearly everywhere would else make any other value an outlier. Their squares
+#: are added to the variances.
 FLOORS = (0.3, 0.08, 0.06, 0.2, 0.15)
 DIMENSIONS = len(FLOORS)
 _X = [f"x{k}" for k in range(DIMENSIONS)]
