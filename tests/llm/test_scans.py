@@ -316,6 +316,18 @@ def test_short_passages_are_found(spark):
     assert len(found) >= 55 and all(i % 2 for i in found)
 
 
+def test_query_reports_short_repeats(spark, tmp_path):
+    """Spans below MIN_SPAN: passages that share one or two chunks, and copies of short texts."""
+    texts = {k: f"{words(k, 40)} {words(50, 20)} {words(100 + k, 30)}" for k in range(6)}
+    texts |= {20: "a short text", 21: "a short text", 22: words(7, 12), 23: words(7, 12)}
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = rows(QUERIES["op3_gear_chunks"](spark, str(tmp_path)))
+    spans = {(r["doc_id"], r["start"], r["end"], r["first_doc_id"]) for r in found}
+    assert spans == brute_spans(texts, 1)
+    assert {(21, 0, 12, 20), (23, 0, len(texts[23]), 22)} <= spans
+    assert all(any(s[0] == k and s[3] == 0 for s in spans) for k in range(1, 6))
+
+
 def test_repeats_are_cut_out(spark):
     text = words(9, 200)
     kept = {r["doc_id"]: r for r in rows(chunk_dedup.drop_repeats(documents(spark, {1: text, 2: text, 3: None, 4: "own"})))}

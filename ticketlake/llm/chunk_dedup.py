@@ -5,8 +5,8 @@ candidate if some of the hash's bits are zero, and a cut if no other candidate l
 before it, so a cut depends on the bytes around it and on nothing else: an insertion moves the cuts
 behind it and changes none. Chunks have equal digests where their bytes are equal; each digest's
 first chunk (least doc_id, then place) stays and the others are repeats. Neighbouring repeats are
-joined to spans, and spans of ``MIN_SPAN`` characters or more are reported, so that no lone 64-bit
-collision and no common phrase counts.
+joined to spans, and spans of ``min_span`` characters or more are reported: every repeat with 1, which
+the query takes, or no lone 64-bit collision and no common phrase with ``MIN_SPAN``, the default.
 
 Defined results: null and empty texts have no chunks and no spans; rows with a null doc_id take no
 part; rows that repeat a doc_id count as one document with both texts' chunks, equal ones once; runs without a cut
