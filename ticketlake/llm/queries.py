@@ -18,6 +18,7 @@ from ticketlake.llm import (
     pii,
     quality,
     toxicity,
+    whitening,
 )
 from ticketlake.llm.common import read_table, settle
 
@@ -122,3 +123,9 @@ def op10_offset_deobfuscation(spark, sf_dir):
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op11_shifted_cholesky_whitening(spark, sf_dir):
+    white = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
