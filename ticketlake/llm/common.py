@@ -57,6 +57,12 @@ def settle(df: DataFrame, small: bool = False) -> DataFrame:
     return df.checkpoint()
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this run wrote and that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int
 ) -> DataFrame:

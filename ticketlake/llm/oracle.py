@@ -95,3 +95,15 @@ least AS (SELECT x, min(y) AS y FROM reached GROUP BY x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id,
   doc_id = least(doc_id, coalesce(y, doc_id)) AS kept
 FROM sets LEFT JOIN least ON x = doc_id"""
+
+
+#: Base 32 by five hexadecimal digits, that is four characters, at a time.
+WARC_TRANSACTIONS = """
+WITH held AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+marked AS (SELECT *, sha1(payload) AS digest, max(page_id) OVER (PARTITION BY payload) AS first FROM held)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    (('0x' || substr(digest, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32 + 1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM marked"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,15 +19,17 @@ from ticketlake.llm import (
     pii,
     quality,
     toxicity,
+    warc,
     whitening,
 )
-from ticketlake.llm.common import read_table, settle
+from ticketlake.llm.common import discard, read_table, settle, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {
     "op2_hierarchical_mix": oracle.mixing_sql(),
     "op8_minhash_near_dedup": oracle.NEAR_DUPLICATES,
+    "op12_warc_transactions": oracle.WARC_TRANSACTIONS,
 }
 
 
@@ -129,3 +132,18 @@ def op10_offset_deobfuscation(spark, sf_dir):
 def op11_shifted_cholesky_whitening(spark, sf_dir):
     white = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
     return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_warc_transactions(spark, sf_dir):
+    archive = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(read_table(spark, sf_dir, "pages"), archive)
+    captures = settle(warc.assemble(warc.read_archive(spark, archive)))
+    discard(spark, archive)
+    return warc.referred(captures, "page_id").select(
+        F.element_at("metadata.fields", "page_id").cast("long").alias("page_id"),
+        "response.payload_bytes",
+        "response.payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("referred").cast("long").alias("refers_to"),
+    )
