@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketlake.llm import (
     chunk_dedup,
+    collocations,
     licenses,
     mixing,
     near_dedup,
@@ -30,6 +31,7 @@ ORACLE: dict[str, str] = {
     "op2_hierarchical_mix": oracle.mixing_sql(),
     "op8_minhash_near_dedup": oracle.NEAR_DUPLICATES,
     "op12_warc_transactions": oracle.WARC_TRANSACTIONS,
+    "op13_quotient_filter_collocations": oracle.COLLOCATIONS,
 }
 
 
@@ -147,3 +149,8 @@ def op12_warc_transactions(spark, sf_dir):
         F.col("type").alias("record_type"),
         F.col("referred").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op13_quotient_filter_collocations(spark, sf_dir):
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
