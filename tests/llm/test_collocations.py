@@ -11,7 +11,13 @@ from hypothesis import given, settings, strategies as st
 from ticketlake.llm import collocations
 from ticketlake.llm.queries import ORACLE, QUERIES
 
-KEYS = st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1)), min_size=1, max_size=60)
+
+
+@st.composite
+def keys_of_halves(draw):
+    half = draw(st.sampled_from([4, 20, 33, 64]))
+    part = st.integers(0, 2**half - 1)
+    return half, draw(st.lists(st.tuples(part, part), min_size=1, max_size=60))
 
 
 def brute(texts, min_count=10, top=2000):
@@ -51,25 +57,34 @@ def prose(seed, n, vocabulary=12):
     return "".join(draw.choice(names) + draw.choice([" ", " ", " ", "\t", "  ", ", ", ".\n", " ? "]) for _ in range(n))
 
 
-@given(KEYS)
-def test_permutation_is_one_to_one(keys):
+@given(keys_of_halves())
+def test_permutation_is_one_to_one(halves):
+    half, keys = halves
     high, low = (np.array(c, dtype=np.uint64) for c in zip(*keys, strict=True))
-    back = collocations.restored(*collocations.permuted(high, low))
+    there = collocations.permuted(high, low, half)
+    back = collocations.restored(*there, half)
+    assert max(there[0].max(), there[1].max()) < 2**half
     assert (back[0] == high).all() and (back[1] == low).all()
 
 
-@given(st.lists(st.tuples(*[st.integers(0, 2**42 - 1)] * 3), min_size=1), st.sampled_from([2, 3]))
-def test_packing_is_lossless(ids, size):
-    columns = [np.array(c, dtype=np.uint64) for c in zip(*ids, strict=True)][:size]
-    sizes, back = collocations.unpacked(*collocations.packed(size, columns))
+@given(
+    st.lists(st.tuples(*[st.integers(0, 2**42 - 1)] * 3), min_size=1), st.sampled_from([2, 3]), st.integers(2, 42)
+)
+def test_packing_is_lossless(ids, size, width):
+    columns = [np.array(c, dtype=np.uint64) % 2**width for c in zip(*ids, strict=True)][:size]
+    halves = collocations.packed(size, columns, width)
+    assert max(h.max() for h in halves) < 2 ** collocations.half_bits(width)
+    sizes, back = collocations.unpacked(*halves, width)
     assert (sizes == size).all()
     assert all((a == b).all() for a, b in zip(columns, back, strict=False))
 
 
-@given(KEYS, st.lists(st.integers(1, 2**40), min_size=60, max_size=60), st.integers(0, 9))
+@given(keys_of_halves(), st.lists(st.integers(1, 2**40), min_size=60, max_size=60), st.integers(0, 9))
 @settings(max_examples=200)
-def test_filters_are_lossless(keys, counts, range_bits):
+def test_filters_are_lossless(halves, counts, range_bits):
     """Keys that agree in one half or in all their first bits included."""
+    half, keys = halves
+    range_bits = min(half, range_bits)
     keys = keys + [(h, l ^ 1) for h, l in keys[:5]] + [(h ^ 1, l) for h, l in keys[:5]]
     expected = Counter()
     for key, n in zip(keys, counts * 2, strict=False):
@@ -77,9 +92,9 @@ def test_filters_are_lossless(keys, counts, range_bits):
     high, low = (np.array(c, dtype=np.uint64) for c in zip(*keys, strict=True))
     n = np.array((counts * 2)[: len(keys)], dtype=np.int64)
     got = Counter()
-    for batch in collocations._filters("en", collocations.summed(high, low, n), range_bits):
+    for batch in collocations._filters("en", collocations.summed(high, low, n), half, range_bits):
         for row in batch.to_pylist():
-            h, l, c = collocations.entries(row, range_bits)
+            h, l, c = collocations.entries(row, half, range_bits)
             assert list(zip(h.tolist(), l.tolist(), strict=True)) == sorted(zip(h.tolist(), l.tolist(), strict=True))
             got.update(dict(zip(zip(h.tolist(), l.tolist(), strict=True), c.tolist(), strict=True)))
     assert got == expected
@@ -102,7 +117,7 @@ def test_chunks_repeat_context_only(limit):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"limit": 40}, {"hashes": 3}, {"flush": 20, "occurrences": 16}, {"top": 5, "min_count": 4}]
+    "options", [{}, {"limit": 40}, {"min_bits": 1}, {"min_bits": 41}, {"flush": 20, "occurrences": 16}, {"top": 5, "min_count": 4}]
 )
 def test_against_brute_force(spark, options):
     """Texts in parts, colliding word hashes, many small filters and ranges."""
