@@ -2,107 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketlake.functions.catalogs import canonical_column
-from ticketlake.functions.text import BOM, strip, text_or_empty
-from ticketlake.operators.skew import settled
+from ticketlake.functions.text import strip, text_or_empty
+from ticketlake.operators.skew import settled, small_dimension
 from ticketlake.schemas import TICKET_COLUMNS
-
-
-#: Columns that a history file may have at most, known or not.
-MAX_COLUMNS = 64
-_POSITIONS = [f"_c{i}" for i in range(MAX_COLUMNS)]
+from ticketlake.sources.csv_records import lines_of, read_records
 
 
 def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """Every value as text by position; quotes doubled, header lines left out."""
-    schema = ", ".join(f"{name} string" for name in _POSITIONS)
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("enforceSchema", True)
-        .csv(path)
-    )
-
-
-def _headers(spark: SparkSession, path: str) -> DataFrame:
-    """``(_file, _names)``: the column names in the first line of each file."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_mid"),
-        "value",
-    )
-    first = (
-        lines.filter("_start = 0")
-        .groupBy("_file")
-        .agg(F.min_by("value", "_mid").alias("line"))
-        .withColumn("line", F.replace(F.col("line"), F.lit(BOM), F.lit("")))
-    )
-    schema = ", ".join(f"{name} string" for name in _POSITIONS)
-    parsed = F.from_csv("line", schema, {"quote": '"', "escape": '"'})
-    names = F.array(*[strip(text_or_empty(parsed[name])) for name in _POSITIONS])
-    return first.select("_file", names.alias("_names"))
-
-
-def number_rows(df: DataFrame) -> DataFrame:
-    """Adds ``_file``, ``_line`` (1-based inside the file) and ``_row``: unique, dense, and in the
-    order of files by path and lines inside them.
-
-    Rows of one file split are contiguous in a task, so a row's number is its place in the split
-    plus the rows of the splits and files before it. One small row per split, then per file, is
-    grouped and ordered. A row that doesn't fall inside its split's range stops the read.
-    """
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    splits = placed.groupBy("_file", "_start").agg(
-        F.min("_mid").alias("_first"), F.count("*").alias("_n")
-    )
-    earlier = Window.unboundedPreceding, -1
-    in_file = Window.partitionBy("_file").orderBy("_start").rowsBetween(*earlier)
-    among_files = Window.orderBy("_file").rowsBetween(*earlier)
-    files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows")).select(
-        "_file", F.coalesce(F.sum("_rows").over(among_files), F.lit(0)).alias("_files_before")
-    )
-    offsets = splits.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(in_file), F.lit(0))
-    ).join(files, "_file")
-    inside = F.col("_mid") - F.col("_first")
-    moved = F.raise_error(F.lit("the input changed while it was numbered")).cast("bigint")
-    line = F.when(inside.between(0, F.col("_n") - 1), inside + F.col("_before") + 1).otherwise(moved)
-    return (
-        placed.join(offsets, ["_file", "_start"])
-        .withColumn("_line", line)
-        .withColumn("_row", F.col("_line") + F.col("_files_before"))
-        .drop("_start", "_mid", "_first", "_n", "_before", "_files_before")
-    )
+    """The lines of a history as they are read; the same splits with and without line breaks."""
+    return lines_of(spark, path)
 
 
 def read_tickets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Raw tickets as text with ``_row``, ``_file`` and ``_line``; a missing path is an error.
 
-    Columns go by the names in each file's own header line, in any order: a missing column is null
-    and an unknown one is left out. ``_row`` is unique over all files. Blank lines do not count.
-    Values may hold line breaks inside quotes, which keeps a file in one task; histories without
-    such values are read in splits with ``multi_line=False``.
+    Columns go by the names in each file's own header line, in any order and number: a missing
+    column is null and an unknown one is left out. ``_row`` is unique over all files. Blank lines
+    do not count. Values may hold line breaks inside quotes; files are read in splits all the same
+    (``multi_line`` is accepted and changes nothing). Of two columns of one name the first counts.
     """
-    numbered = number_rows(_csv(spark, path, multi_line)).join(_headers(spark, path), "_file")
-    values = F.array(*_POSITIONS)
-
-    def named(name: str) -> Column:
-        place = F.array_position("_names", F.lit(name)).cast("int")
-        return F.get(values, place - 1).alias(name)
-
-    return numbered.select("_row", "_file", "_line", *[named(name) for name in TICKET_COLUMNS])
+    records, splits = read_records(spark, path)
+    width = splits.agg(F.max(F.size("names"))).head()[0] or 1
+    positions = [f"_c{i}" for i in range(width)]
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "maxColumns": str(width + 1024)}
+    parsed = F.from_csv("record", ", ".join(f"{name} string" for name in positions), options)
+    places = splits.groupBy("_file").agg(F.first("names").alias("_names")).select(
+        "_file",
+        *[F.array_position("_names", F.lit(n)).cast("int").alias(f"_at_{n}") for n in TICKET_COLUMNS],
+    )
+    # Parsed once: each field of an expression would parse the record again.
+    held = settled(records, {"_parsed": parsed})
+    values = held.withColumn("_values", F.array(*[F.col(f"_parsed.{name}") for name in positions]))
+    named = values.join(small_dimension(places), "_file")
+    return named.select(
+        "_row", "_file", "_line", *[F.get("_values", F.col(f"_at_{n}") - 1).alias(n) for n in TICKET_COLUMNS]
+    )
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
