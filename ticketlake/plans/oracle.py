@@ -198,16 +198,15 @@ CTES["puntuados"] = f"""
         concat_ws(chr(1), {', '.join(f"coalesce(CAST({n} AS VARCHAR), '')" for n in _CONTENT)}) AS contenido
     FROM validos"""
 CTES["plegados"] = """
-    SELECT *, max(puntos * 10000000000 - _row) OVER previos AS clave_previa,
-           puntos * 10000000000 - _row AS clave_propia
-    FROM puntuados
+    SELECT *, arg_max(_row, clave) OVER previos AS fila_previa,
+           arg_max(contenido, clave) OVER previos AS contenido_previo,
+           arg_max(puntos, clave) OVER previos AS puntos_previos
+    FROM (SELECT *, puntos * 10000000000 - _row AS clave FROM puntuados)
     WINDOW previos AS (PARTITION BY id ORDER BY _row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 CTES["decididos"] = """
-    SELECT p.*, a._row AS fila_previa, a.contenido AS contenido_previo,
-           CASE WHEN a._row IS NULL THEN 'primera' WHEN a.contenido = p.contenido THEN 'exacto'
-                WHEN p.puntos > a.puntos THEN 'desplaza' ELSE 'pierde' END AS caso
-    FROM plegados p LEFT JOIN plegados a
-      ON a.id = p.id AND a.clave_propia = p.clave_previa"""
+    SELECT *, CASE WHEN fila_previa IS NULL THEN 'primera' WHEN contenido_previo = contenido THEN 'exacto'
+                WHEN puntos > puntos_previos THEN 'desplaza' ELSE 'pierde' END AS caso
+    FROM plegados"""
 CTES["duplicados"] = """
     SELECT d._row AS numero_de_fila, CASE d.caso WHEN 'exacto' THEN 'duplicado_exacto'
         ELSE 'duplicado_con_contenido_en_conflicto' END AS motivo,

@@ -16,10 +16,12 @@ next comma stays in the value.
 from __future__ import annotations
 
 import csv
+import itertools
 import re
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -57,15 +59,20 @@ def inside_after(line: bytes, inside: bool) -> bool:
     return not (_FROM_INSIDE if inside else _FROM_OUTSIDE).fullmatch(line)
 
 
-def _blank(line: bytes) -> bool:
-    return line in (b"", b"\r")
+_BLANK = (b"", b"\r")
 
 
-def _split_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, tuple, bytes]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[bytes], pa.RecordBatch]]:
+    """Runs of lines of one split: its file and start, the lines, and these rows."""
     for batch in batches:
-        files, starts, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for i, (file, start, line) in enumerate(zip(files, starts, lines, strict=True)):
-            yield batch, i, (file, start), line
+        starts = batch.column(1).to_numpy()
+        files = batch.column(0).dictionary_encode()
+        codes = files.indices.to_numpy()
+        changes = np.flatnonzero((starts[1:] != starts[:-1]) | (codes[1:] != codes[:-1])) + 1
+        for at, end in itertools.pairwise([0, *changes.tolist(), batch.num_rows]):
+            if end > at:
+                run = batch.slice(at, end - at)
+                yield (files[at].as_py(), int(starts[at])), run.column(2).to_pylist(), run
 
 
 def header_names(text: bytes) -> list[str]:
@@ -78,36 +85,46 @@ class _Summary:
 
     def __init__(self, key: tuple[str, int], head_bytes: int):
         self.key, self.limit = key, head_bytes
-        self.states = [False, True]
-        self.counts = [0, 0]
+        self.outside, self.inside = False, True  # the state now, had the split started with this one
+        self.n_out = self.n_in = self.held = 0
         self.head: list[bytes] | None = []
-        self.held, self.in_head = 0, True
+        self.in_head = True
         self.first: list[bytes] = []
 
-    def add(self, line: bytes) -> None:
-        if self.counts[0] == 0 and not _blank(line) or self.counts[0] == 1 and self.states[0]:
-            self.first.append(line)
-        if self.in_head:
-            self.held += len(line) + 1
-            if self.held > self.limit:
-                self.head = None
-            if self.head is not None:
-                self.head.append(line)
-        for k, inside in enumerate(self.states):
-            if not inside and not _blank(line):
-                self.counts[k] += 1
-            self.states[k] = inside_after(line, inside)
-        if not self.states[1]:
-            self.in_head = False
+    def add(self, lines: list[bytes]) -> None:
+        out, inn, n_out, n_in = self.outside, self.inside, self.n_out, self.n_in
+        for line in lines:
+            if line in _BLANK:
+                if n_out == 1 and out:
+                    self.first.append(line)
+            else:
+                if n_out == 0 or n_out == 1 and out:
+                    self.first.append(line)
+                n_out += not out
+                n_in += not inn
+            if self.in_head:
+                self._keep(line)
+            if b'"' in line:
+                after = inside_after(line, out)
+                inn = after if inn == out else inside_after(line, inn)
+                out = after
+                self.in_head = self.in_head and inn
+        self.outside, self.inside, self.n_out, self.n_in = out, inn, n_out, n_in
+
+    def _keep(self, line: bytes) -> None:
+        self.held += len(line) + 1
+        if self.held > self.limit:
+            self.head = None
+        elif self.head is not None:
+            self.head.append(line)
 
     def row(self) -> dict:
-        text = b"\n".join(self.first)
-        whole = self.counts[0] > 1 or not self.states[0]
+        whole = self.n_out > 1 or not self.outside
         return {
-            "_file": self.key[0], "_start": self.key[1], "n_out": self.counts[0], "n_in": self.counts[1],
-            "end_out": self.states[0], "end_in": self.states[1],
+            "_file": self.key[0], "_start": self.key[1], "n_out": self.n_out, "n_in": self.n_in,
+            "end_out": self.outside, "end_in": self.inside,
             "head": None if self.head is None else b"\n".join(self.head),
-            "names": header_names(text) if self.first and whole else None,
+            "names": header_names(b"\n".join(self.first)) if self.first and whole else None,
         }
 
 
@@ -128,84 +145,89 @@ _RECORD = pa.schema(
 def _summaries(head_bytes: int) -> Callable:
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for _, _, key, line in _split_lines(batches):
+        for key, lines, _ in _runs(batches):
             if own is None or own.key != key:
                 if own is not None:
                     yield pa.RecordBatch.from_pylist([own.row()], schema=_SPLIT)
                 own = _Summary(key, head_bytes)
-            own.add(line)
+            own.add(lines)
         if own is not None:
             yield pa.RecordBatch.from_pylist([own.row()], schema=_SPLIT)
 
     return summarize
 
 
+def _batch(key: tuple[str, int], places: list[int], records: list[bytes], is_open: bool) -> pa.RecordBatch:
+    n = len(records)
+    columns = [pa.repeat(v, n) for v in key] + [pa.array(places, pa.int64()), pa.array(records, pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, pa.repeat(is_open, n)], schema=_RECORD)
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The records that start in each split, the last one open if it goes on in later splits.
 
     Lines bring the state that their split starts with and the number of its records.
     """
-    rows: list[tuple] = []
-    size = 0
-    key = None
-    inside = False
+    key, inside, place, expected = None, False, 0, 0
     parts: list[bytes] = []
-    place = expected = 0
 
-    def ended() -> None:
+    def ended() -> Iterator[pa.RecordBatch]:
         if parts:
-            rows.append((*key, place, b"\n".join(parts), True))
+            yield _batch(key, [place], [b"\n".join(parts)], True)
             parts.clear()
         if key is not None and place != expected:
             raise ValueError("the input changed while it was read")
 
-    def batch_of() -> pa.RecordBatch:
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORD, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, schema=_RECORD)
-
-    for batch, i, own, line in _split_lines(batches):
+    for own, lines, run in _runs(batches):
         if own != key:
-            ended()
+            yield from ended()
             key, place = own, 0
-            inside, expected = (batch.column(c)[i].as_py() for c in (3, 4))
-        if not inside:
-            if _blank(line):
-                continue
-            place += 1
-            parts.append(line)
-        elif parts:
-            parts.append(line)
-        inside = inside_after(line, inside)
-        if parts and not inside:
-            rows.append((*key, place, b"\n".join(parts).removesuffix(b"\r"), False))
-            parts.clear()
-            size += len(rows[-1][3])
-            if size >= BATCH_BYTES or len(rows) >= 50_000:
-                yield batch_of()
-                rows, size = [], 0
-    ended()
-    if rows:
-        yield batch_of()
+            inside, expected = (run.column(c)[0].as_py() for c in (3, 4))
+        places, records, size = [], [], 0
+        for line in lines:
+            if not inside:
+                if line in _BLANK:
+                    continue
+                place += 1
+                if b'"' not in line or not inside_after(line, False):
+                    places.append(place)
+                    records.append(line.removesuffix(b"\r"))
+                else:
+                    parts.append(line)
+                    inside = True
+                size += len(line)
+            else:
+                inside = inside_after(line, True)
+                if parts:
+                    parts.append(line)
+                    size += len(line)
+                    if not inside:
+                        places.append(place)
+                        records.append(b"\n".join(parts).removesuffix(b"\r"))
+                        parts.clear()
+            if size >= BATCH_BYTES and records:
+                yield _batch(key, places, records, False)
+                places, records, size = [], [], 0
+        if records:
+            yield _batch(key, places, records, False)
+    yield from ended()
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of splits that start inside a value, up to their first record."""
     key, parts, inside = None, [], False
-
-    def row() -> pa.RecordBatch:
-        own = (*key, 0, b"\n".join(parts), False)
-        return pa.RecordBatch.from_pylist([dict(zip(_RECORD.names, own, strict=True))], schema=_RECORD)
-
-    for _, _, own, line in _split_lines(batches):
+    for own, lines, _ in _runs(batches):
         if own != key:
             if key is not None:
-                yield row()
+                yield _batch(key, [0], [b"\n".join(parts)], False)
             key, parts, inside = own, [], True
-        if inside:
+        for line in lines:
+            if not inside:
+                break
             parts.append(line)
             inside = inside_after(line, inside)
     if key is not None:
-        yield row()
+        yield _batch(key, [0], [b"\n".join(parts)], False)
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
