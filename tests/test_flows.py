@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ticketlake.functions.citations import fingerprint, idempotency_key
 from ticketlake.operators import intake, metrics, reminders, reports, requests
 from ticketlake.operators.clean import clean_history
+from ticketlake.operators.rules import validate_model_output
 from ticketlake.schemas import INTAKE_EVENT
 from ticketlake.session import shared_folder
 from ticketlake.sources import documents, tickets
 from ticketlake.streaming.flows import (
     classify_batches,
+    classify_with_answers,
     clean_so_far,
     late_events,
     rolling_latency,
@@ -365,6 +367,59 @@ def test_classification_batches(spark, tmp_path):
     ]
 
 
+def test_repeated_answers(spark):
+    """A second answer to a ticket doubles nothing, in any order."""
+    schema = (
+        "ticket_id int, ok boolean, texto string, proveedor string, modelo string, latencia_ms double, "
+        "tokens_entrada int, tokens_salida int"
+    )
+    arrived = spark.createDataFrame([(1, "Sin red", ""), (2, "Clave", "vencida")], "ticket_id int, asunto string, descripcion string")
+    rows = [
+        (1, False, None, "n", "m", 1.0, 1, 1),
+        (1, True, '{"categoria":"Red","prioridad":"alta"}', "n", "m", 2.0, 1, 1),
+        (1, True, '{"categoria":"reportes","prioridad":"alta"}', "n", "m", 1.0, 1, 1),
+    ]
+    for order in (rows, rows[::-1]):
+        got = validate_model_output(arrived, spark.createDataFrame(order, schema)).orderBy("ticket_id").collect()
+        assert [(r.ticket_id, r.categoria, r.origen) for r in got] == [(1, "Red", "modelo"), (2, "Accesos", "degradado")]
+
+
+def test_answers_that_come_later(spark, tmp_path):
+    """In another batch, twice, too late, before the ticket, or never."""
+    at = datetime(2025, 1, 1, 10)
+    ask = "ticket_id int, asunto string, descripcion string, momento timestamp"
+    give = (
+        "ticket_id int, ok boolean, texto string, proveedor string, modelo string, latencia_ms double, "
+        "tokens_entrada int, tokens_salida int, momento_respuesta timestamp"
+    )
+    far = datetime(2030, 1, 1)
+
+    def answer(ticket, minute, category):
+        text = f'{{"categoria":"{category}","prioridad":"alta"}}'
+        return (ticket, True, text, "n", "m", 1.0, 1, 1, at + timedelta(minutes=minute))
+
+    asked = [[(i, "Sin red", "", at) for i in (1, 2, 3, 4, 5)], [], [], [(None, "", "", far)]]
+    given = [
+        [answer(5, -1, "reportes")],
+        [answer(1, 30, "reportes"), answer(2, 90, "Hardware")],
+        [answer(1, 31, "Hardware"), answer(2, 20, "reportes"), answer(3, 121, "reportes")],
+        [(None, None, None, None, None, None, None, None, far)],
+    ]
+    for tickets_part, answers_part in zip(asked, given, strict=True):
+        for rows, schema, name in ((tickets_part, ask, "t"), (answers_part, give, "r")):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        classify_with_answers(
+            spark.readStream.schema(ask).parquet(str(tmp_path / "t")),
+            spark.readStream.schema(give).parquet(str(tmp_path / "r")),
+            str(tmp_path / "out"), str(tmp_path / "ck"),
+        ).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("ticket_id").collect()
+    assert [(r.ticket_id, r.categoria, r.origen) for r in got] == [
+        (1, "Informes", "modelo"), (2, "Informes", "modelo"),
+        (3, "Red", "degradado"), (4, "Red", "degradado"), (5, "Red", "degradado"),
+    ]
+
+
 def test_reminders_run_twice(spark, tmp_path):
     open_tickets = spark.createDataFrame(
         [(1, "A", "Abierto", date(2025, 7, 10)), (2, "B", "Abierto", date(2025, 7, 16)),

@@ -107,17 +107,39 @@ def classify_by_rules(
     ).drop("_key")
 
 
+#: What an external answer brings besides the ticket it belongs to.
+ANSWER_COLUMNS = ("ok", "texto", "proveedor", "modelo", "latencia_ms", "tokens_entrada", "tokens_salida")
+
+
+def answer_order(*first: str) -> Column:
+    """Which of several answers to one ticket counts: the smallest by ``first``, then one that is
+    ok, then by all other values. The same answer counts in any order of arrival."""
+    others = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in ANSWER_COLUMNS[1:]]
+    return F.struct(*first, (~F.coalesce("ok", F.lit(False))).alias("failed"), *others)
+
+
+def one_answer(responses: DataFrame) -> DataFrame:
+    """At most one row per ticket, by :func:`answer_order`; combined before the shuffle, so a ticket
+    with any number of answers is never held in one task."""
+    return (
+        responses.groupBy("ticket_id")
+        .agg(F.min_by(F.struct(*ANSWER_COLUMNS), answer_order()).alias("_answer"))
+        .select("ticket_id", "_answer.*")
+    )
+
+
 def validate_model_output(tickets: DataFrame, responses: DataFrame) -> DataFrame:
     """Classification of every ticket from its model answer, or by rules with the reason.
 
-    ``tickets``: ticket_id, asunto, descripcion. ``responses``: at most one row per ticket_id with
-    ok, texto, proveedor, modelo, latencia_ms, tokens_entrada, tokens_salida. A ticket without
+    ``tickets``: ticket_id, asunto, descripcion. ``responses``: ticket_id, ok, texto, proveedor,
+    modelo, latencia_ms, tokens_entrada, tokens_salida; of several answers to a ticket one counts
+    (:func:`one_answer`), so a ticket is returned as often as it is given. A ticket without
     text, with a missing or failed answer, an unreadable one or values outside the catalogs keeps
     the rules' result, marked degraded with low confidence and a typed motive.
     """
     joined = tickets.select(
         "ticket_id", title_and_body(F.col("asunto"), F.col("descripcion")).alias("_texto")
-    ).join(responses, "ticket_id", "left")
+    ).join(one_answer(responses), "ticket_id", "left")
     read = joined.withColumns(
         {"_json": first_json_object(F.col("texto")), "_key": search_key(F.col("_texto"))}
     ).withColumns(

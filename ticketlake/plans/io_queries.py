@@ -27,6 +27,7 @@ from ticketlake.session import materialize, shared_folder
 from ticketlake.sources import documents, tickets
 from ticketlake.streaming.flows import (
     classify_batches,
+    classify_with_answers,
     clean_so_far,
     rolling_latency,
     send_reminders,
@@ -306,6 +307,41 @@ def r3_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/salida").drop("lote")
 
 
+@query
+def r3_late_answers(spark, sf_dir):
+    """Answers come one step after their tickets and twice; every fifth comes after the wait."""
+    folder = _folder(spark)
+    start = F.unix_timestamp(F.lit("2025-01-01 00:00:00"))
+    asked = F.timestamp_seconds(start + F.col("ticket_id"))
+    tickets_in = materialize(view(spark, sf_dir, "tickets_conversados").withColumn("momento", asked))
+    minutes = F.when(F.col("ticket_id") % 5 == 0, 200).otherwise(F.col("ticket_id") % 100)
+    first = view(spark, sf_dir, "respuestas_modelo").withColumn(
+        "momento_respuesta", F.timestamp_seconds(start + F.col("ticket_id") + 60 * minutes)
+    )
+    again = first.withColumns(
+        {"texto": F.lit("otra"), "momento_respuesta": F.col("momento_respuesta") + F.expr("INTERVAL 5 MINUTES")}
+    )
+    answers_in = materialize(first.unionByName(again))
+    low, high = tickets_in.agg(F.min("ticket_id"), F.max("ticket_id")).head()
+    width = (high - low) // PARTS + 1
+    end = F.lit("2100-01-01").cast("timestamp")
+    for part in range(PARTS + 2):
+        def step(rows, at, time):
+            if at == PARTS:  # nothing comes any more: a row without ticket moves the time on
+                empty = [F.lit(None).cast(kind).alias(name) for name, kind in rows.dtypes if name != time]
+                return spark.range(1).select(*empty, end.alias(time)).select(rows.columns)
+            return rows.filter(F.floor((F.col("ticket_id") - low) / width) == at)
+
+        step(tickets_in, min(part, PARTS), "momento").write.mode("append").parquet(f"{folder}/tickets")
+        step(answers_in, part - 1, "momento_respuesta").write.mode("append").parquet(f"{folder}/respuestas")
+        classify_with_answers(
+            spark.readStream.schema(tickets_in.schema).parquet(f"{folder}/tickets"),
+            spark.readStream.schema(answers_in.schema).parquet(f"{folder}/respuestas"),
+            f"{folder}/salida", f"{folder}/control",
+        ).awaitTermination()
+    return spark.read.parquet(f"{folder}/salida").drop("lote")
+
+
 @query
 def r4_reminders(spark, sf_dir):
     """The second run of a day adds nothing."""

@@ -945,3 +945,7 @@ for _stream, _twin in (
     SELECTS[_stream] = SELECTS[_twin]
 
 ORACLE: dict[str, str] = {name: _with(sql) for name, sql in SELECTS.items()}
+# Of the answers, every fifth comes after the wait; the second one to a ticket never counts.
+ORACLE["r3_late_answers"] = ORACLE["t3_model_output"].replace(
+    "FROM respuestas_modelo)", "FROM respuestas_modelo WHERE ticket_id % 5 <> 0)"
+)

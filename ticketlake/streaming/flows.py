@@ -19,9 +19,9 @@ from ticketlake.operators.clean import (
 )
 from ticketlake.operators.metrics import last_samples, latency_summary
 from ticketlake.operators.reminders import due_reminders, last_change, not_yet_sent
-from ticketlake.operators.rules import validate_model_output
+from ticketlake.operators.rules import ANSWER_COLUMNS, answer_order, validate_model_output
 from ticketlake.session import materialize
-from ticketlake.streaming.state import advance, previous
+from ticketlake.streaming.state import KeyedState, advance, previous
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -117,6 +117,43 @@ def classify_batches(
     return _each_batch(tickets, classify, checkpoint, trigger)
 
 
+def classify_with_answers(
+    tickets: DataFrame, answers: DataFrame, out: str, checkpoint: str, wait: str = "2 hours",
+    late: str = "10 minutes", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Classify tickets by answers that are a stream of their own and may come later, or never.
+
+    ``tickets`` have ``momento``, ``answers`` ``momento_respuesta``. A ticket waits for the answers
+    of up to ``wait`` after its own time. Once both streams have passed that by ``late``, it is
+    classified by the earliest of them (:func:`answer_order` among equally early ones), or by rules
+    if there is none: an answer that comes twice counts once, and one that comes too late changes
+    nothing. What waits is held by the engine and dropped with the watermark. Equal rows of a ticket
+    are one; tickets without id only move the time on. Each batch writes its own folder.
+    """
+    asked = tickets.select(
+        "ticket_id", "asunto", "descripcion", F.col("momento").cast("timestamp").alias("momento")
+    ).withWatermark("momento", late)
+    given = answers.select(
+        F.col("ticket_id").alias("_ticket"),
+        F.col("momento_respuesta").cast("timestamp").alias("momento_respuesta"),
+        *ANSWER_COLUMNS,
+    ).withWatermark("momento_respuesta", late)
+    in_time = F.col("momento_respuesta").between(
+        F.col("momento"), F.col("momento") + F.expr(f"INTERVAL {wait}")
+    )
+    met = asked.join(given, (F.col("ticket_id") == F.col("_ticket")) & in_time, "left_outer")
+    decided = met.groupBy("ticket_id", "asunto", "descripcion", "momento").agg(
+        F.min_by(F.struct("momento_respuesta", *ANSWER_COLUMNS), answer_order("momento_respuesta")).alias("_answer")
+    )
+
+    def classify(batch: DataFrame, batch_id: int) -> None:
+        batch = materialize(batch.filter(F.col("ticket_id").isNotNull()))
+        answered = batch.filter(F.col("_answer.momento_respuesta").isNotNull()).select("ticket_id", "_answer.*")
+        validate_model_output(batch, answered).write.mode("overwrite").parquet(f"{out}/lote={batch_id}")
+
+    return _each_batch(decided, classify, checkpoint, trigger)
+
+
 def stream_clean(
     raw: DataFrame, clean_path: str, rejects_path: str, checkpoint: str,
     trigger: dict | None = None,
@@ -124,27 +161,44 @@ def stream_clean(
     """Clean raw tickets as they arrive: checks per row, duplicates against all that came before.
 
     The state is the clean table itself, the row kept so far of every id. A batch is judged once;
-    its valid rows meet the kept ones by the same fold as in a batch run, which only ever compares
-    with the row kept so far. Rows must arrive in the order of ``_row``; then the last state and
-    all rejects equal those of one run over everything. The clean table is the folder of the last
-    batch number modulo two (:func:`clean_so_far`).
+    its valid rows meet the kept ones of their ids by the same fold as in a batch run, which only
+    ever compares with the row kept so far. A batch reads and writes only the ids that it holds, and
+    leaves a change log: the rows kept from now on and, as retractions, those that they displace
+    (:func:`clean_changes`). Rows must arrive in the order of ``_row``; then the last state and all
+    rejects equal those of one run over everything.
     """
     def settle_batch(batch: DataFrame, batch_id: int) -> None:
+        state = clean_state(batch.sparkSession, clean_path)
         checked = materialize(check_tickets(batch))
         valid = typed_tickets(checked)
-        before = previous(batch.sparkSession, clean_path, batch_id, CLEAN_ROWS)
-        marked = materialize(mark_duplicates(valid.unionByName(before)))
-        rejects = validation_rejects(checked).unionByName(duplicate_rejects(marked))
+        before = materialize(state.before(batch_id, valid.select("id").distinct()))
+        own = materialize(mark_duplicates(valid.unionByName(before.select(*valid.columns))))
+        rejects = validation_rejects(checked).unionByName(duplicate_rejects(own))
         rejects.write.mode("overwrite").parquet(f"{rejects_path}/lote={batch_id}")
-        kept = marked.filter(F.col("motivo").isNull()).select(*valid.columns)
-        advance(kept, clean_path, batch_id)
+        # Kept rows of this batch are the changes; a row kept before was displaced by one of them.
+        arrived = own.join(before.select("_row"), "_row", "left_anti")
+        kept = materialize(arrived.filter(F.col("motivo").isNull()).select(*valid.columns))
+        displaced = before.join(kept.select("id"), "id", "left_semi").select(*valid.columns)
+        kept.withColumn("cambio", F.lit("+")).unionByName(displaced.withColumn("cambio", F.lit("-"))).write.mode(
+            "overwrite"
+        ).parquet(f"{clean_path}/cambios/lote={batch_id}")
+        state.write(batch_id, kept)
 
     return _each_batch(raw, settle_batch, checkpoint, trigger)
 
 
+def clean_state(spark: SparkSession, clean_path: str) -> KeyedState:
+    return KeyedState(spark, f"{clean_path}/estado", "id", CLEAN_ROWS)
+
+
 def clean_so_far(spark: SparkSession, clean_path: str, last_batch: int) -> DataFrame:
     """The clean tickets after batch number ``last_batch`` of :func:`stream_clean`."""
-    return previous(spark, clean_path, last_batch + 1, CLEAN_ROWS)
+    return clean_state(spark, clean_path).whole(last_batch + 1)
+
+
+def clean_changes(spark: SparkSession, clean_path: str) -> DataFrame:
+    """The change log of :func:`stream_clean`: ``lote``, ``cambio`` (+ kept, - displaced), tickets."""
+    return spark.read.schema(f"{CLEAN_ROWS}, cambio string, lote int").parquet(f"{clean_path}/cambios")
 
 
 def send_reminders(
