@@ -398,12 +398,12 @@ def test_answers_that_come_later(spark, tmp_path):
         text = f'{{"categoria":"{category}","prioridad":"alta"}}'
         return (ticket, True, text, "n", "m", 1.0, 1, 1, at + timedelta(minutes=minute))
 
-    asked = [[(i, "Sin red", "", at) for i in (1, 2, 3, 4, 5)], [], [], [(None, "", "", far)]]
+    asked = [[(i, "Sin red", "", at) for i in (1, 2, 3, 4, 5)], [], [], [(-1, "", "", far)]]
     given = [
         [answer(5, -1, "reportes")],
         [answer(1, 30, "reportes"), answer(2, 90, "Hardware")],
         [answer(1, 31, "Hardware"), answer(2, 20, "reportes"), answer(3, 121, "reportes")],
-        [(None, None, None, None, None, None, None, None, far)],
+        [(-1, None, None, None, None, None, None, None, far)],
     ]
     for tickets_part, answers_part in zip(asked, given, strict=True):
         for rows, schema, name in ((tickets_part, ask, "t"), (answers_part, give, "r")):

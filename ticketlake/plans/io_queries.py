@@ -327,9 +327,10 @@ def r3_late_answers(spark, sf_dir):
     end = F.lit("2100-01-01").cast("timestamp")
     for part in range(PARTS + 2):
         def step(rows, at, time):
-            if at == PARTS:  # nothing comes any more: a row without ticket moves the time on
-                empty = [F.lit(None).cast(kind).alias(name) for name, kind in rows.dtypes if name != time]
-                return spark.range(1).select(*empty, end.alias(time)).select(rows.columns)
+            if at == PARTS:  # nothing comes any more: a row of no ticket moves the time on
+                other = {"ticket_id": F.lit(-1), time: end}
+                row = [other.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in rows.dtypes]
+                return spark.range(1).select(*row)
             return rows.filter(F.floor((F.col("ticket_id") - low) / width) == at)
 
         step(tickets_in, min(part, PARTS), "momento").write.mode("append").parquet(f"{folder}/tickets")
@@ -337,7 +338,7 @@ def r3_late_answers(spark, sf_dir):
         classify_with_answers(
             spark.readStream.schema(tickets_in.schema).parquet(f"{folder}/tickets"),
             spark.readStream.schema(answers_in.schema).parquet(f"{folder}/respuestas"),
-            f"{folder}/salida", f"{folder}/control",
+            f"{folder}/salida", f"{folder}/control", late="4 hours",
         ).awaitTermination()
     return spark.read.parquet(f"{folder}/salida").drop("lote")
 

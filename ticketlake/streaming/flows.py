@@ -128,7 +128,7 @@ def classify_with_answers(
     classified by the earliest of them (:func:`answer_order` among equally early ones), or by rules
     if there is none: an answer that comes twice counts once, and one that comes too late changes
     nothing. What waits is held by the engine and dropped with the watermark. Equal rows of a ticket
-    are one; tickets without id only move the time on. Each batch writes its own folder.
+    are one; a ticket without an id is left out. Each batch writes its own folder.
     """
     asked = tickets.select(
         "ticket_id", "asunto", "descripcion", F.col("momento").cast("timestamp").alias("momento")
