@@ -177,6 +177,16 @@ def compile_template(template: str) -> Automaton:
     return found
 
 
+def word_places(joined: bytes, needle: bytes) -> Iterator[int]:
+    """Words before each place of a needle that starts with a blank, in one pass over the text."""
+    at, words, counted = joined.find(needle), 0, 0
+    while at >= 0:
+        words += joined.count(b" ", counted, at)
+        counted = at
+        yield words
+        at = joined.find(needle, at + 1)
+
+
 class Scanner:
     def __init__(self, phrases: Mapping[str, str], templates: Mapping[str, str]):
         self.phrases = [
@@ -195,22 +205,15 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         base, found = [], []
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
-            while at >= 0:
-                base.append((joined.count(b" ", 0, at), label))
-                at = joined.find(phrase, at + 1)
+            base += [(start, label) for start in word_places(joined, phrase)]
         for label, automaton in self.automata.items():
             if self.needles[label] not in joined:
                 continue
             for anchor in automaton.anchors():
-                needle = b" " + anchor + b" "
-                at = joined.find(needle)
-                while at >= 0:
-                    start = joined.count(b" ", 0, at)
+                for start in word_places(joined, b" " + anchor + b" "):
                     end = automaton.match(words, start)
                     if end >= 0:
                         found.append((start, end, label))
-                    at = joined.find(needle, at + 1)
         return len(words), sorted(base), sorted(found)
 
 
