@@ -8,7 +8,7 @@ from corpus import documents, empty_documents, odd_documents, rows
 from pyspark.sql import functions as F
 
 from ticketlake.llm import quality, toxicity
-from ticketlake.llm.common import held_out
+from ticketlake.llm.common import held_out, labelled_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -141,3 +141,48 @@ def test_toxic_words_decide(spark):
     bad = " ".join(w.decode().rstrip("*") for w in worst)
     docs = documents(spark, {1: f"some plain text {bad} {bad} and more", 2: "some plain text and more"})
     assert {r["doc_id"]: r["predicted"] for r in rows(toxicity.score_documents(docs, model))} == {1: 1, 2: 0}
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """A document that is repeated many times is one row of the sample."""
+    docs = spark.range(4_000).selectExpr("id % 4 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    sample = labelled_sample(docs, labels, "toxic", 10)
+    assert sample.count() == sample.select("doc_id").distinct().count() <= 4
+
+
+def scan_steps(hits):
+    """Segments of hits that all lie apart, the case in which a scan back would visit all of them."""
+    import time
+
+    places = np.arange(hits) * 100
+    start = time.perf_counter()
+    assert len(toxicity.segments(np.full(hits, 1.0), places, -0.1)) == hits
+    return time.perf_counter() - start
+
+
+def test_segments_take_linear_time():
+    assert scan_steps(64_000) < 8 * max(scan_steps(16_000), 0.02)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_segments_are_maximal(seed):
+    """Against the definition, by recursion on the best segment of what is left."""
+    draw = np.random.default_rng(seed)
+    scores = np.where(draw.random(40) < 0.4, draw.integers(1, 6, 40), -2).astype(float)
+
+    def best(low, high):
+        total = np.concatenate([[0.0], np.cumsum(scores[low:high])])
+        found = max(
+            ((total[j] - total[i], -(j - i), i, j) for i in range(high - low) for j in range(i + 1, high - low + 1)),
+            default=(0, 0, 0, 0),
+        )
+        if found[0] <= 0:
+            return []
+        i, j = low + found[2], low + found[3]
+        return [*best(low, i), (i, j - 1, found[0]), *best(j, high)]
+
+    places = np.flatnonzero(scores > 0)
+    got = toxicity.segments(scores[places], places, -2.0)
+    assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in best(0, 40)))
+    assert len(got) >= 1

@@ -70,7 +70,8 @@ def labelled_sample(
 
     Only labels outside the held-out fold are read. The documents with the smallest hashes are
     taken, so the sample doesn't depend on partitioning. The ids that select them are at most
-    ``2 * per_class`` rows, which bounds the broadcast whatever the tables' sizes.
+    ``2 * per_class`` rows, which bounds the broadcast whatever the tables' sizes; of a document
+    with several rows the smallest text is taken, so the sample has no more rows than ids.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out()
@@ -80,7 +81,8 @@ def labelled_sample(
         known.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (1, 0)
     )
     chosen = one.unionByName(zero).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def bucket_count(rows: Column) -> Column:

@@ -25,10 +25,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketlake.llm.common import held_out, labelled_sample, whole_text
+from ticketlake.llm.common import held_out, labelled_sample, settle, whole_text
 
 #: Training documents of each label at most. It bounds the lexicon and what reaches the driver.
 SAMPLE_PER_CLASS = 20_000
+#: Toxic documents that a word must be in, and how many times the share of clean ones that hold it
+#: the share of toxic ones must be: rates, so the sizes of the classes don't matter.
+MIN_TOXIC, RATE = 3, 4
 PASSAGE_SHARE = 0.1
 PRIOR_TOKENS = 1000.0
 #: A token enters the lexicon if chance explains its lean with a probability below exp(-this).
@@ -56,23 +59,23 @@ def segments(scores: np.ndarray, places: np.ndarray, other: float) -> list[tuple
     ``scores`` are the positive scores at the token positions ``places``; every other token scores
     ``other``, below zero. A segment is maximal if no extension or part of it scores more.
     """
-    found: list[list] = []  # first, last, sum before it, sum at its end
+    # First, last, sum before it, sum at its end, and the nearest segment with a smaller sum before.
+    found: list[list] = []
     total, previous = 0.0, -1
     for place, score in zip(places.tolist(), scores.tolist(), strict=True):
         total += other * (place - previous - 1)
         piece = [place, place, total, total + score]
         total += score
         previous = place
-        while True:
-            at = len(found) - 1
-            while at >= 0 and found[at][2] >= piece[2]:
-                at -= 1
-            if at < 0 or found[at][3] >= piece[3]:
-                found.append(piece)
-                break
-            piece = [found[at][0], piece[1], found[at][2], piece[3]]
+        at = len(found) - 1
+        while at >= 0 and found[at][2] >= piece[2]:
+            at = found[at][4]
+        while at >= 0 and found[at][3] < piece[3]:
+            piece, link = [found[at][0], piece[1], found[at][2], piece[3]], found[at][4]
             del found[at:]
-    return [(first, last, end - start) for first, last, start, end in found]
+            at = link
+        found.append([*piece, at])
+    return [(first, last, end - start) for first, last, start, end, _ in found]
 
 
 @dataclass
@@ -197,14 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         sample.mapInPandas(_count, "token binary, d1 long, d0 long, n1 long, n0 long")
         .groupBy("token")
         .agg(*[F.sum(c).alias(c) for c in ("d1", "d0", "n1", "n0")])
-        .filter((F.length("token") == 0) | ((F.col("d1") >= 3) & (F.col("d1") * 2 > F.col("d0"))))
-        .collect()
     )
-    rows = [(bytes(r["token"]), r["d1"], r["d0"], r["n1"], r["n0"]) for r in counts]
-    totals = next((r[1:] for r in rows if r[0] == b""), (0, 0, 0, 0))
+    counts = settle(counts)
+    totals = next((tuple(r)[1:] for r in counts.filter(F.length("token") == 0).collect()), (0, 0, 0, 0))
     if min(totals) == 0:
         return model
-    model.lexicon, model.other = _lexicon([r for r in rows if r[0]], totals)
+    # Words in MIN_TOXIC toxic documents or more, with RATE times the share that clean ones have.
+    marked = (F.col("d1") >= MIN_TOXIC) & (F.col("d1") * totals[1] > F.col("d0") * (RATE * totals[0]))
+    rows = [tuple(r) for r in counts.filter((F.length("token") > 0) & marked).collect()]
+    rows = [(bytes(token), *n) for token, *n in rows]
+    model.lexicon, model.other = _lexicon(rows, totals)
 
     def clean_law(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = model.word_scores()
