@@ -3,7 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from corpus import documents, empty_documents, odd_documents, rows, words
+from corpus import SCHEMA, documents, empty_documents, odd_documents, rows, words
 
 from ticketlake.llm import near_dedup
 from ticketlake.llm.components import connected_components
@@ -120,3 +120,13 @@ def test_one_stays(spark):
 def test_empty(spark):
     assert near_dedup.near_duplicates(empty_documents(spark)).count() == 0
     assert near_dedup.drop_near_duplicates(empty_documents(spark)).count() == 0
+
+
+def test_links_of_a_repeated_id(spark):
+    """Every text of a document with several rows links it."""
+    a, b = words(31, 60), words(32, 60)
+    rows_ = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, words(33, 60)), (7, b), (7, words(33, 60))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows_], SCHEMA)
+    found = {(r["doc_id"], r["component_id"]) for r in rows(near_dedup.near_duplicates(frame))}
+    assert found == {(i, 1) for i in (1, 2, 3, 4, 7)}
+    assert [r["doc_id"] for r in rows(near_dedup.drop_near_duplicates(frame))] == [1]

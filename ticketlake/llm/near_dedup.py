@@ -10,8 +10,9 @@ that join what is not yet joined in the block. Components follow from those link
 
 Defined results: null or empty texts, and texts without words, have no shingles and are linked
 with nothing; fewer words than a shingle count as one shingle; a null doc_id takes part in nothing
-and is its own class (component null, kept); rows that repeat a doc_id are judged by their own
-texts; other columns are ignored; an empty table gives an empty result.
+and is its own class (component null, kept); rows that repeat a doc_id are one document that is linked
+with whatever one of its texts is linked with; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -192,10 +193,11 @@ def near_links(
             group["node"], group["digest"], group["text"], group["block"], strict=True
         ):
             found = split_words(text)
-            if node not in places and xxhash.xxh3_128_digest(b" ".join(found)) == bytes(digest):
-                places[node] = part
+            digest = bytes(digest)
+            if (node, digest) not in places and xxhash.xxh3_128_digest(b" ".join(found)) == digest:
+                places[node, digest] = part
                 sets.append(shingles(found, words))
-        ids = np.array(list(places))
+        ids = [node for node, _ in places]
         first = np.array(list(places.values())) == group["low"].iat[0]
         same = group["low"].iat[0] == group["high"].iat[0]
         found = _spanning(sets, first, same, percent) if len(sets) > 1 else []
@@ -204,6 +206,24 @@ def near_links(
     return met.groupBy("cluster", "low", "high").applyInPandas(verify, "a long, b long")
 
 
+def _own_links(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: links between the texts of documents whose rows have different ones."""
+    several = (
+        signed.filter("n_shingles > 0")
+        .groupBy("doc_id")
+        .agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+        .filter("a <> b")
+    )
+    own = (
+        signed.join(several.select("doc_id"), "doc_id", "left_semi")
+        .join(nodes.select("digest", "node"), "digest")
+        .select("doc_id", "node")
+        .distinct()
+    )
+    hubs = own.groupBy("doc_id").agg(F.min("node").alias("hub")).select("doc_id", "hub")
+    return own.join(hubs, "doc_id").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS
 ) -> DataFrame:
@@ -218,7 +238,8 @@ def near_duplicates(
             F.first("bands").alias("bands"),
         )
     )
-    joined = connected_components(near_links(docs, nodes, words, percent))
+    links = near_links(docs, nodes, words, percent).unionByName(_own_links(signed, nodes))
+    joined = connected_components(links)
     classes = nodes.select("digest", "node").join(joined, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     found = (
@@ -239,10 +260,10 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay: one of each class, all columns as they are.
 
-    Rows that repeat a doc_id count as copies; the one with the smallest text stays.
+    Rows that repeat a doc_id are one document; the one with the smallest text stays.
     """
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    stays = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    stays = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi")
     one = stays.groupBy("doc_id").agg(F.min_by(every, whole_text()).alias("_row")).select("_row.*")
     return one.unionByName(docs.filter("doc_id is null"))
