@@ -7,7 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 #: Columns whose names operators use inside; they must not matter.
-CLASHING = ("node", "digest", "tokens", "score", "kept", "start", "digests", "_key", "grp", "x0", "count")
+CLASHING = ("node", "digest", "tokens", "score", "kept", "start", "digests", "_key", "grp", "x0", "count",
+            "_id", "_source", "_end", "_kept", "_row", "row", "spans", "_domain", "_language", "_whole", "hub")
 
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards box in a quiet garden at dawn"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"

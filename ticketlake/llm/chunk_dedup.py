@@ -143,12 +143,12 @@ def drop_repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """The documents without their repeated spans; other columns stay as they are."""
     spans = (
         repeated_spans(docs, min_span)
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     )
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left")
+    joined = docs.alias("d").join(spans.alias("s"), F.col("d.doc_id") == F.col("s.doc_id"), "left")
     columns = [
-        _without(F.col("text"), F.col("_spans")).alias("text") if c == "text" else F.col(f"`{c}`")
+        _without(F.col("d.text"), F.col("s.spans")).alias("text") if c == "text" else F.col(f"d.`{c}`")
         for c in docs.columns
     ]
     return joined.select(*columns)

@@ -77,9 +77,9 @@ def leveled(docs: DataFrame) -> DataFrame:
     )
 
 
-def order_key(epoch: Column, seed: int) -> Column:
+def order_key(epoch: Column, seed: int, doc_id: str = "doc_id") -> Column:
     """A document's place in an epoch's order: 60 bits of a digest of seed, epoch and id."""
-    name = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    name = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -203,20 +203,20 @@ def mix_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
         *[F.col(c).alias(f"_{c}") for c in LEVELS], "_whole", "_end"
     )
     named = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         domain_of(F.col("source")).alias("_domain"),
         F.coalesce(F.col("lang"), F.lit("")).alias("_language"),
         F.coalesce(F.col("source"), F.lit("")).alias("_source"),
     )
     own = F.struct(
-        order_key(F.col("_whole") + 1, mixture.seed).alias("_key"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
+        order_key(F.col("_whole") + 1, mixture.seed, "row.doc_id").alias("_key"),
+        F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
     )
     times = F.col("_whole") + F.coalesce(own <= F.col("_end"), F.lit(False)).cast("int")
     return (
-        small_join(named, cuts, names, F.col("doc_id"))
+        small_join(named, cuts, names, F.col("row.doc_id"))
         .withColumn("_times", times)
         .filter("_times > 0")
         .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select("row.*")
     )
