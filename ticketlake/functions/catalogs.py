@@ -75,34 +75,14 @@ CATALOGS = {
 }
 
 
-#: Entries that a catalog table may have; a closed list is far below it.
-MAX_ENTRIES = 10_000
-
 Catalogs = Mapping[str, Mapping[str, str]]
 
 
-def load_catalogs(table: DataFrame, defaults: Catalogs = CATALOGS) -> dict[str, dict[str, str]]:
-    """Catalogs from a table ``(catalogo, forma, valor)``: each spelling and its canonical value.
-
-    A catalog that the table names replaces the default one. Spellings are compared by their lookup
-    keys; a spelling with two values, or more than ``MAX_ENTRIES`` rows, is an error.
-    """
-    entries = table.select("catalogo", search_key(F.col("forma")).alias("clave"), "valor").distinct()
-    rows = entries.limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"a catalog table has more than {MAX_ENTRIES} entries")
-    given: dict[str, dict[str, str]] = {}
-    for row in rows:
-        if given.setdefault(row["catalogo"], {}).setdefault(row["clave"], row["valor"]) != row["valor"]:
-            raise ValueError(f"two values for {row['clave']!r} in catalog {row['catalogo']!r}")
-    return {**{name: dict(entries) for name, entries in defaults.items()}, **given}
-
-
 def lookup(name: str, key: Column, catalogs: Catalogs = CATALOGS) -> Column:
     """Canonical value of a lookup key, null when it is in no entry.
 
     The catalog is a small closed list that travels inside the plan as a literal map, so the
-    lookup needs no join.
+    lookup needs no join; ``operators.dictionaries`` looks up catalogs of any size.
     """
     return F.element_at(literal_map(catalogs[name]), key)
 
@@ -111,6 +91,16 @@ def _is_blank(name: str, key: Column) -> Column:
     return key.isin("", *NO_CATEGORY) if name == "categoria" else key == ""
 
 
+def catalog_state(name: str, key: Column, value: Column) -> Column:
+    """``struct<valor string, motivo string>`` of a lookup key and what was found for it: a canonical
+    value, nothing or a motive."""
+    blank = _is_blank(name, key)
+    return F.struct(
+        F.when(~blank, value).alias("valor"),
+        F.when(~blank & value.isNull(), F.lit(OUT_OF_CATALOG)).alias("motivo"),
+    )
+
+
 def standardize_catalogs(
     df: DataFrame, columns: dict[str, str], catalogs: Catalogs = CATALOGS
 ) -> DataFrame:
@@ -123,17 +113,13 @@ def standardize_catalogs(
         f"_v_{new}": lookup(old, F.col(f"_k_{new}"), catalogs) for new, old in columns.items()
     }
 
-    def state(new: str, old: str) -> Column:
-        blank, value = _is_blank(old, F.col(f"_k_{new}")), F.col(f"_v_{new}")
-        return F.struct(
-            F.when(~blank, value).alias("valor"),
-            F.when(~blank & value.isNull(), F.lit(OUT_OF_CATALOG)).alias("motivo"),
-        )
-
+    states = {
+        new: catalog_state(old, F.col(f"_k_{new}"), F.col(f"_v_{new}")) for new, old in columns.items()
+    }
     return (
         df.withColumns(keys)
         .withColumns(values)
-        .withColumns({new: state(new, old) for new, old in columns.items()})
+        .withColumns(states)
         .drop(*keys, *values)
     )
 

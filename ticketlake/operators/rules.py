@@ -72,32 +72,13 @@ def rule_priority(key: Column) -> Column:
     )
 
 
-#: Rows that a rule table may have.
-MAX_RULES = 10_000
-
-
-def load_rules(table: DataFrame) -> list[tuple[str, list[str]]]:
-    """Rules from a table ``(orden, categoria, palabra)``: one row per keyword.
-
-    Rules apply by ``orden``; rows of one order must name one category. More than ``MAX_RULES``
-    rows are an error.
-    """
-    rows = table.select("orden", "categoria", "palabra").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table has more than {MAX_RULES} rows")
-    rules: dict[object, tuple[str, list[str]]] = {}
-    for row in sorted(rows, key=lambda r: (r["orden"], r["palabra"])):
-        category, words = rules.setdefault(row["orden"], (row["categoria"], []))
-        if category != row["categoria"]:
-            raise ValueError(f"two categories for rule {row['orden']!r}")
-        words.append(row["palabra"])
-    return list(rules.values())
-
-
 def classify_by_rules(
     df: DataFrame, text: Column, rules: Sequence[tuple[str, Sequence[str]]] = RULES
 ) -> DataFrame:
-    """Adds ``categoria`` and ``prioridad`` by keyword; row-local, no shuffle."""
+    """Adds ``categoria`` and ``prioridad`` by keyword; row-local, no shuffle.
+
+    For the short fixed list; ``operators.dictionaries`` applies rule tables of any size.
+    """
     keyed = df.withColumn("_key", search_key(text))
     return keyed.withColumns(
         {

@@ -10,8 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ticketlake.functions.catalogs import load_catalogs, standardize_catalogs
-from ticketlake.operators import chunks, clean, evaluation, metrics, rules, tfidf
+from ticketlake.operators import chunks, clean, dictionaries, evaluation, metrics, rules, tfidf
 from ticketlake.plans.queries import (
     HOLIDAYS,
     TODAY,
@@ -187,7 +186,7 @@ def p2_table_catalog(spark, sf_dir):
         .otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment")))
     )
     rows = view(spark, sf_dir, "customer").select("c_custkey", written.alias("area"))
-    read = standardize_catalogs(rows, {"v": "area"}, load_catalogs(table))
+    read = dictionaries.standardize_by_table(rows, {"v": "area"}, table)
     return read.select("c_custkey", F.col("v.valor").alias("valor"), F.col("v.motivo").alias("motivo"))
 
 
@@ -202,8 +201,8 @@ def t2_table_rules(spark, sf_dir):
         F.col("r_name").alias("categoria"),
         F.substring("n_name", 1, 3).alias("palabra"),
     )
-    classified = rules.classify_by_rules(
-        view(spark, sf_dir, "documents"), F.col("text"), rules.load_rules(table)
+    classified = dictionaries.classify_by_rule_table(
+        view(spark, sf_dir, "documents"), F.col("text"), table
     )
     return classified.select("doc_id", "categoria")
 
