@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ticketlake.functions.catalogs import (
     DEFAULT_AREA,
@@ -50,6 +50,10 @@ APPLIED_DEFAULTS = {
     "prioridad": "prioridad ausente",
     "canal": "canal ausente",
 }
+VALIDATION_MOTIVES = (
+    MISSING_ID, MISSING_CREATION, BAD_CREATION, BAD_CLOSE, CLOSE_BEFORE_CREATION, MISSING_STATE,
+    BAD_STATE, BAD_PRIORITY, BAD_CHANNEL, BAD_CATEGORY, BAD_REOPENS,
+)
 CATALOG_MOTIVES = (BAD_STATE, BAD_PRIORITY, BAD_CHANNEL, BAD_CATEGORY, "valor_fuera_de_catalogo")
 
 #: Clean tickets with their row numbers, as a table schema.
@@ -322,15 +326,52 @@ def deduplicate(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
 def clean_history(raw: DataFrame) -> Cleaning:
     """Typed, validated and deduplicated tickets with quarantine and quality report.
 
-    The judged rows are written once: the duplicate ladder, the surviving tickets, the quarantine
-    and the report all read that table instead of parsing the raw text again. That pass runs right
-    away, and so does the check that ``_row`` is unique.
+    The judged rows are written once: the duplicate ladder, the surviving tickets and the quarantine
+    read that table instead of parsing the raw text again. The pass that writes it also counts what
+    the report says about single rows. It runs right away, and so does the check that ``_row`` is
+    unique.
     """
-    checked = materialize(check_tickets(raw))
+    seen = Observation()
+    checked = materialize(check_tickets(raw).observe(seen, *row_counters()))
     require_unique_rows(checked)
     clean, duplicates = deduplicate(typed_tickets(checked))
     quarantine = validation_rejects(checked).unionByName(duplicates)
-    return Cleaning(clean, duplicates, quarantine, quality_report(checked, quarantine))
+    return Cleaning(clean, duplicates, quarantine, counted_report(seen.get, duplicates))
+
+
+def row_counters() -> list[Column]:
+    """What :func:`check_tickets` finds out row by row, as aggregates to observe in the pass that
+    writes its rows: rows read, rejects by motive, defaults by name (over valid rows)."""
+    return [
+        F.count(F.lit(1)).alias("leidos"),
+        *[F.count_if(F.col("motivo") == name).alias(name) for name in VALIDATION_MOTIVES],
+        *[F.count_if(F.array_contains("por_defecto", name)).alias(name) for name in APPLIED_DEFAULTS.values()],
+    ]
+
+
+def counted_report(counted: dict[str, int], duplicates: DataFrame) -> DataFrame:
+    """:func:`quality_report` from the values of :func:`row_counters`: only the duplicates, which no
+    single row shows, are read again."""
+    spark = duplicates.sparkSession
+    repeats = duplicates.groupBy(F.col("motivo").alias("nombre")).agg(F.count("*").alias("n"))
+    read, rejected = counted["leidos"], sum(counted[name] for name in VALIDATION_MOTIVES)
+    dropped = repeats.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("_dropped"))
+    totals = dropped.select(
+        F.explode(
+            F.create_map(
+                F.lit("leidos"), F.lit(read).cast("bigint"),
+                F.lit("limpios"), F.lit(read - rejected).cast("bigint") - F.col("_dropped"),
+                F.lit("en_cuarentena"), F.lit(rejected).cast("bigint") + F.col("_dropped"),
+            )
+        ).alias("nombre", "n")
+    )
+    sections = {"motivos": VALIDATION_MOTIVES, "valores_por_defecto": APPLIED_DEFAULTS.values()}
+    found = [(section, name, counted[name]) for section, names in sections.items() for name in names if counted[name]]
+    return (
+        totals.select(F.lit("totales").alias("seccion"), "nombre", "n")
+        .unionByName(repeats.select(F.lit("motivos").alias("seccion"), "nombre", "n"))
+        .unionByName(spark.createDataFrame(found, "seccion string, nombre string, n long"))
+    )
 
 
 def default_counters(checked: DataFrame) -> DataFrame:
@@ -345,6 +386,7 @@ def default_counters(checked: DataFrame) -> DataFrame:
 def quality_report(checked: DataFrame, quarantine: DataFrame) -> DataFrame:
     """Tidy report ``(seccion, nombre, n)``: rows read, clean and quarantined, motives, defaults.
 
+    For judged rows that were written without :func:`row_counters`; it reads them for each block.
     Read equals clean plus quarantined by construction: every row ends in exactly one of them.
     """
     motives = quarantine.groupBy(F.col("motivo").alias("nombre")).agg(F.count("*").alias("n"))

@@ -202,20 +202,24 @@ def reopened_now(tickets: DataFrame) -> DataFrame:
 
 
 def monthly_report(tickets: DataFrame, year: int, month: int) -> DataFrame:
-    """Tidy report of a month: a ``total`` row with the reopen percentage, a row per area.
+    """Tidy report of a month: a ``total`` row with the reopen percentage, a row per area."""
+    return period_report(filter_period(tickets, *month_bounds(year, month)), f"{year}-{month:02d}")
+
+
+def period_report(tickets: DataFrame, name: str) -> DataFrame:
+    """The report of :func:`monthly_report` over tickets that are all of one period.
 
     One pass over the tickets; the total row is summed from the per-area rows.
     """
     per_area = (
-        filter_period(tickets, *month_bounds(year, month))
-        .groupBy(_report_area().alias("nombre"))
+        tickets.groupBy(_report_area().alias("nombre"))
         .agg(F.count("*").alias("total"), F.count_if(is_reopened(F.col("estado"))).alias("n"))
     )
     zero = F.lit(0).cast("bigint")
     whole = per_area.agg(
         F.coalesce(F.sum("total"), zero).alias("total"), F.coalesce(F.sum("n"), zero).alias("n")
     )
-    period = F.lit(f"{year}-{month:02d}").alias("periodo")
+    period = F.lit(name).alias("periodo")
     return whole.select(
         period,
         F.lit("total").alias("seccion"),

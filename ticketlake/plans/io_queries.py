@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
-from ticketlake.operators import chunks, clean, dictionaries, evaluation, metrics, rules, tfidf
+from ticketlake.operators import chunks, clean, dictionaries, evaluation, metrics, reports, rules, tfidf
 from ticketlake.plans.queries import (
     HOLIDAYS,
     TODAY,
@@ -23,10 +24,11 @@ from ticketlake.plans.queries import (
 from ticketlake.plans.views import view
 from ticketlake.schemas import INTAKE_EVENT, LOG_FIELDS, TICKET_COLUMNS
 from ticketlake.session import materialize, shared_folder
-from ticketlake.sources import documents, tickets
+from ticketlake.sources import documents, months, tickets
 from ticketlake.streaming.flows import (
     classify_batches,
     classify_with_answers,
+    clean_changes,
     clean_so_far,
     rolling_latency,
     send_reminders,
@@ -81,6 +83,36 @@ def s2_clean(spark, sf_dir):
     return tickets.read_tickets(spark, path).select(*TICKET_COLUMNS)
 
 
+def _by_month(spark, sf_dir) -> str:
+    path = _folder(spark)
+    months.write_months(clean.clean_history(_raw(spark, sf_dir)).clean, path)
+    return path
+
+
+@query
+def p6_stored(spark, sf_dir):
+    """A period that begins and ends inside months, over the history stored by month."""
+    stored = months.read_months(spark, _by_month(spark, sf_dir), date(1997, 1, 15), date(1997, 3, 10))
+    return stored.select("_row", "id", "fecha_creacion")
+
+
+@query
+def a9_stored(spark, sf_dir):
+    """The monthly report over the history stored by month."""
+    stored = months.read_month(spark, _by_month(spark, sf_dir), 1997, 12)
+    return reports.period_report(stored, "1997-12")
+
+
+@query
+def s2_months_stream(spark, sf_dir):
+    """The change log of the cleaning stream, applied to a table by month batch by batch."""
+    folder = _streamed(spark, sf_dir)
+    log = clean_changes(spark, f"{folder}/limpios")
+    for batch in range(PARTS):
+        months.apply_changes(spark, f"{folder}/meses", log.filter(F.col("lote") == batch))
+    return months.read_months(spark, f"{folder}/meses")
+
+
 @query
 def s3_quarantine(spark, sf_dir):
     path = _folder(spark)

@@ -690,6 +690,13 @@ SELECTS: dict[str, str] = {
         HAVING t.reaperturas > 0 OR count(h.id_historial) > 0""",
     "p6_period": """SELECT _row, fecha_creacion FROM informados
         WHERE creado BETWEEN DATE '1997-01-31' AND DATE '1997-03-31'""",
+    "p6_stored": """SELECT _row, id, fecha_creacion FROM limpios
+        WHERE fecha_creacion BETWEEN DATE '1997-01-15' AND DATE '1997-03-10'""",
+    "a9_stored": f"""WITH mes AS (SELECT area, estado = 'Reabierto' AS es_reabierto FROM limpios
+            WHERE fecha_creacion BETWEEN DATE '1997-12-01' AND DATE '1997-12-31')
+        SELECT '1997-12' AS periodo, 'total' AS seccion, NULL::VARCHAR AS nombre, count(*) AS total,
+               {_pct('count(*) FILTER (es_reabierto)', 'count(*)')} AS tasa_reapertura FROM mes
+        UNION ALL SELECT '1997-12', 'area', area, count(*), NULL FROM mes GROUP BY area""",
     "p7_month_bounds": """SELECT CAST(date_trunc('month', fecha_creacion) AS DATE) AS desde,
         last_day(fecha_creacion) AS hasta, count(*) AS tickets FROM tickets GROUP BY ALL""",
     "a7_area_legacy": "SELECT area_informe AS area, count(*) AS total FROM informados GROUP BY ALL",
@@ -941,6 +948,7 @@ for _stream, _twin in (
     ("r1_stream", "r1_intake_batch"), ("r2_stream", "r2_metrics_batch"),
     ("r2_latency_stream", "a11_latency"), ("r3_stream", "t3_model_output"),
     ("r5_stream", "w1_dedup_clean"), ("r5_rejects", "w10_quarantine"),
+    ("s2_months_stream", "w1_dedup_clean"),
 ):
     SELECTS[_stream] = SELECTS[_twin]
 
