@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketlake.functions.ratios import rate
 from ticketlake.functions.text import strip
@@ -140,3 +140,42 @@ def standardize_trace_ids(events: DataFrame, column: str = "id_traza") -> DataFr
     return events.withColumn(
         column, F.coalesce(usable_trace(F.col(column)), F.replace(F.uuid(), F.lit("-"), F.lit("")))
     )
+
+
+#: What :func:`call_sums` gives, in order.
+CALL_SUMS = ("llamadas", "degradadas", "tokens_entrada", "tokens_salida")
+
+
+def call_sums() -> list[Column]:
+    """Calls, degraded calls and tokens of a group; absent token counts add nothing."""
+    return [
+        F.count("*").alias("llamadas"),
+        F.count_if(F.col("origen") == "degradado").alias("degradadas"),
+        F.sum(F.coalesce("tokens_entrada", F.lit(0))).alias("tokens_entrada"),
+        F.sum(F.coalesce("tokens_salida", F.lit(0))).alias("tokens_salida"),
+    ]
+
+
+def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """Sessions of each operation: runs of calls at most ``gap_seconds`` apart.
+
+    Calls within one stretch of the clock of that length always share a session, so they are added up
+    first, partially before the shuffle. What is then ordered per operation is a row per stretch with
+    its first and last call: its number depends on the time covered, not on how busy an operation is.
+    Rows without a time are left out; a missing operation is one of its own.
+    """
+    micros = gap_seconds * 1_000_000
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("ts").isNotNull())
+    stretch = F.floor(F.unix_micros("ts") / F.lit(micros)).cast("bigint")
+    stretches = timed.groupBy("operacion", stretch.alias("_stretch")).agg(
+        F.min("ts").alias("desde"), F.max("ts").alias("hasta"), *call_sums()
+    )
+    along = Window.partitionBy("operacion").orderBy("_stretch")
+    apart = F.unix_micros("desde") - F.unix_micros(F.lag("hasta").over(along)) > micros
+    numbered = stretches.withColumn("_first", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
+        "_session", F.sum("_first").over(along)
+    )
+    return numbered.groupBy("operacion", "_session").agg(
+        F.min("desde").alias("desde"), F.max("hasta").alias("hasta"),
+        *[F.sum(name).alias(name) for name in CALL_SUMS],
+    ).drop("_session")

@@ -7,6 +7,8 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ticketlake.operators.skew import small_dimension
+
 # Business days before a reminder and before an escalation.
 REMINDER_DAYS = 3
 ESCALATION_DAYS = 5
@@ -35,15 +37,60 @@ def business_days(start: Column, end: Column, holidays: Sequence[date] = ()) ->
     return days.cast("bigint")
 
 
+def site_calendars(holidays: DataFrame) -> DataFrame:
+    """A row per site with its calendar, from ``(sede, dia)`` in any order, repeated or not.
+
+    ``calendario`` lists the holidays that fall on weekdays with the cumulative business-day index on
+    each of them; between two of them the index grows by weekdays. It grows with the calendar only.
+    Rows without a site or a day are left out.
+    """
+    known = holidays.filter(F.col("sede").isNotNull() & (F.weekday("dia") < 5))
+    by_site = known.groupBy("sede").agg(F.array_sort(F.collect_set("dia")).alias("_dias"))
+    indexed = F.transform(
+        "_dias",
+        lambda day, i: F.struct(day.alias("dia"), (_weekdays_until(day) - i - 1).cast("bigint").alias("indice")),
+    )
+    return by_site.select("sede", indexed.alias("calendario"))
+
+
+def business_index(day: Column, calendar: Column) -> Column:
+    """Cumulative business-day index of ``day``, read as of the last holiday up to it.
+
+    Without a calendar, or before its first holiday, every weekday counts.
+    """
+    passed = F.filter(calendar, lambda holiday: holiday["dia"] <= day)
+    last = F.try_element_at(passed, F.lit(-1))
+    since = _weekdays_until(day) - _weekdays_until(last["dia"])
+    return F.coalesce(last["indice"] + since, _weekdays_until(day)).cast("bigint")
+
+
+def due_by_site(tickets: DataFrame, holidays: DataFrame, today: date) -> DataFrame:
+    """:func:`due_reminders` where each ticket ages by the calendar of its ``sede``.
+
+    A site without holidays, and a ticket without a site, age by weekdays. The calendars are
+    broadcast once their sites are counted; today's index is read once per site.
+    """
+    now = business_index(F.lit(today), F.col("calendario"))
+    calendars = site_calendars(holidays).withColumn("_hoy", now)
+    placed = tickets.join(small_dimension(calendars), "sede", "left")
+    days = F.coalesce("_hoy", _weekdays_until(F.lit(today))) - business_index(
+        F.col("ultimo_cambio"), F.col("calendario")
+    )
+    return _due(placed.withColumn("dias_habiles", days.cast("bigint")), today, "sede")
+
+
 def due_reminders(tickets: DataFrame, today: date, holidays: Sequence[date] = ()) -> DataFrame:
     """Open tickets without a change for three business days, escalated from the fifth on.
 
     ``tickets``: id_ticket, codigo, ultimo_cambio of open tickets.
     """
-    aged = tickets.withColumn(
-        "dias_habiles", business_days(F.col("ultimo_cambio"), F.lit(today), holidays)
-    ).filter(F.col("dias_habiles") >= REMINDER_DAYS)
-    return aged.select(
+    days = business_days(F.col("ultimo_cambio"), F.lit(today), holidays)
+    return _due(tickets.withColumn("dias_habiles", days), today)
+
+
+def _due(aged: DataFrame, today: date, *keep: str) -> DataFrame:
+    return aged.filter(F.col("dias_habiles") >= REMINDER_DAYS).select(
+        *keep,
         "id_ticket",
         "codigo",
         "dias_habiles",
@@ -59,7 +106,7 @@ def not_yet_sent(due: DataFrame, ledger: DataFrame) -> DataFrame:
     return due.dropDuplicates(LEDGER_KEY).join(ledger.select(*LEDGER_KEY), LEDGER_KEY, "left_anti")
 
 
-def last_change(tickets: DataFrame, history: DataFrame) -> DataFrame:
+def last_change(tickets: DataFrame, history: DataFrame, *keep: str) -> DataFrame:
     """Open tickets with the date of their last state change, or of creation without one."""
     changes = history.groupBy("id_ticket").agg(F.max("fecha_cambio").alias("_cambio"))
     return (
@@ -68,6 +115,7 @@ def last_change(tickets: DataFrame, history: DataFrame) -> DataFrame:
         .select(
             "id_ticket",
             "codigo",
+            *keep,
             F.coalesce(F.to_date("_cambio"), F.col("fecha_creacion")).alias("ultimo_cambio"),
         )
     )

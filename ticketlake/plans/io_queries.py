@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, functions as F
 from ticketlake.operators import chunks, clean, dictionaries, evaluation, metrics, reports, rules, tfidf
 from ticketlake.plans.queries import (
     HOLIDAYS,
+    SESSION_GAP,
     TODAY,
     _matrix,
     _operations,
     _questions,
     _raw,
+    _session_times,
     query,
 )
 from ticketlake.plans.views import view
@@ -30,8 +32,10 @@ from ticketlake.streaming.flows import (
     classify_with_answers,
     clean_changes,
     clean_so_far,
+    late_events,
     rolling_latency,
     send_reminders,
+    session_counts,
     stream_clean,
     window_counts,
 )
@@ -313,6 +317,47 @@ def r2_stream(spark, sf_dir):
     )
 
 
+def _out_of_order(spark, sf_dir) -> DataFrame:
+    """Operations with the second at which they arrive: four of five come hours after their time."""
+    events = _operations(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withColumn("llegada", F.unix_seconds("ts") + F.col("seq") % 5 * 14400)
+
+
+@query
+def r2_sessions(spark, sf_dir):
+    """Sessions over events out of order by up to 16 hours, none of them too late."""
+    folder = _folder(spark)
+
+    def counted(events: DataFrame):
+        return (
+            session_counts(events, f"{SESSION_GAP} seconds", "1 day").writeStream.outputMode("append")
+            .option("checkpointLocation", f"{folder}/control")
+            .format("parquet").option("path", f"{folder}/sesiones")
+            .trigger(availableNow=True).start()
+        )
+
+    events = _out_of_order(spark, sf_dir)
+    _in_batches(events, "llegada", f"{folder}/log", counted)
+    # Nothing comes any more: an event of no operation moves the time on.
+    end = {"ts": F.lit("2100-01-01").cast("timestamp")}
+    last = [end.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in events.dtypes]
+    spark.range(1).select(*last).write.mode("append").parquet(f"{folder}/log")
+    counted(spark.readStream.schema(events.schema).parquet(f"{folder}/log")).awaitTermination()
+    return _session_times(spark.read.parquet(f"{folder}/sesiones"))
+
+
+@query
+def r2_late_events(spark, sf_dir):
+    """Events whose hour had closed, by the events of earlier batches, when they arrived."""
+    folder = _folder(spark)
+    _in_batches(
+        _out_of_order(spark, sf_dir), "llegada", f"{folder}/log",
+        lambda events: late_events(events, f"{folder}/tardios", f"{folder}/estado", f"{folder}/control"),
+    )
+    late = spark.read.parquet(f"{folder}/tardios")
+    return late.select("seq", "operacion", F.col("lote").cast("bigint").alias("lote"))
+
+
 @query
 def r2_latency_stream(spark, sf_dir):
     folder = _folder(spark)

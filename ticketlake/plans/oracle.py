@@ -588,6 +588,33 @@ CTES["vencidos"] = f"""
     JOIN habiles hoy ON hoy.dia = DATE '{q.TODAY}'
     WHERE hoy.indice - antes.indice >= {reminders.REMINDER_DAYS}"""
 
+CTES["habiles_sede"] = """
+    SELECT sede, dia, count(*) FILTER (isodow(dia) < 6 AND libre IS NULL) OVER (
+        PARTITION BY sede ORDER BY dia) AS indice
+    FROM (SELECT sede, CAST(unnest(generate_series(DATE '1990-01-01', DATE '2005-01-01', INTERVAL 1 DAY)) AS DATE) AS dia
+          FROM (SELECT DISTINCT sede FROM areas))
+    LEFT JOIN (SELECT DISTINCT sede, dia, 1 AS libre FROM festivos) USING (sede, dia)"""
+CTES["vencidos_sede"] = f"""
+    SELECT id_ticket, a.sede, hoy.indice - antes.indice AS dias_habiles,
+           CASE WHEN hoy.indice - antes.indice >= {reminders.ESCALATION_DAYS} THEN 'escalamiento'
+                ELSE 'recordatorio' END AS tipo
+    FROM cambiados JOIN tickets t USING (id_ticket) JOIN areas a ON a.id_area = t.id_area
+    JOIN habiles_sede antes ON antes.dia = ultimo_cambio AND antes.sede = a.sede
+    JOIN habiles_sede hoy ON hoy.dia = DATE '{q.TODAY}' AND hoy.sede = a.sede
+    WHERE hoy.indice - antes.indice >= {reminders.REMINDER_DAYS}"""
+
+# Sessions and late events.
+CTES["sesiones"] = f"""
+    SELECT *, sum(nueva) OVER (PARTITION BY operacion ORDER BY ts, seq) AS sesion FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY operacion ORDER BY ts, seq)
+                            <= INTERVAL {q.SESSION_GAP} SECOND THEN 0 ELSE 1 END AS nueva
+        FROM operaciones)"""
+CTES["llegadas"] = """
+    SELECT seq, operacion, ts, (llegada - min(llegada) OVER ()) // (
+               (max(llegada) OVER () - min(llegada) OVER ()) // 3 + 1) AS lote
+    FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) + seq % 5 * 14400 AS llegada FROM operaciones)"""
+CTES["ultimos"] = "SELECT lote, max(ts) AS ultimo FROM llegadas GROUP BY lote"
+
 _DETAIL = """
     SELECT t.codigo AS ticket, t.estado, t.prioridad, t.categoria, t.fecha_creacion AS creado,
            u.nombre AS solicitante, u.correo AS correo_solicitante,
@@ -905,6 +932,16 @@ SELECTS: dict[str, str] = {
     "a19_gate": """SELECT count(*) AS categorias, round(avg(f1), 4) AS macro_f1,
         coalesce(round(avg(f1), 4) >= 0.70, false) AS aprueba FROM por_clase""",
     "r4_reminders": "SELECT id_ticket, codigo, dias_habiles, tipo, fecha FROM vencidos",
+    "w9_site_calendars": "SELECT * FROM vencidos_sede",
+    "r2_sessions_batch": """SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS desde,
+        strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS hasta, operacion,
+        count(*) AS llamadas, count(*) FILTER (origen = 'degradado') AS degradadas,
+        CAST(sum(coalesce(tokens_entrada, 0)) AS BIGINT) AS tokens_entrada,
+        CAST(sum(coalesce(tokens_salida, 0)) AS BIGINT) AS tokens_salida
+        FROM sesiones GROUP BY operacion, sesion""",
+    "r2_late_events": """SELECT seq, operacion, lote FROM llegadas a
+        WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (
+            SELECT max(ultimo) FROM ultimos u WHERE u.lote < a.lote) - INTERVAL 10 MINUTE""",
     "w9_business_days": "SELECT id_ticket, dias_habiles, tipo FROM vencidos",
     "j5_reminders": """SELECT id_ticket, codigo, tipo, fecha FROM vencidos WHERE id_ticket % 3 <> 0""",
 }
@@ -948,7 +985,7 @@ for _stream, _twin in (
     ("r1_stream", "r1_intake_batch"), ("r2_stream", "r2_metrics_batch"),
     ("r2_latency_stream", "a11_latency"), ("r3_stream", "t3_model_output"),
     ("r5_stream", "w1_dedup_clean"), ("r5_rejects", "w10_quarantine"),
-    ("s2_months_stream", "w1_dedup_clean"),
+    ("s2_months_stream", "w1_dedup_clean"), ("r2_sessions", "r2_sessions_batch"),
 ):
     SELECTS[_stream] = SELECTS[_twin]
 

@@ -31,6 +31,7 @@ from ticketlake.operators import (
     rules,
     tfidf,
 )
+from ticketlake.operators.skew import small_dimension
 from ticketlake.plans.views import VIEWS, view
 from ticketlake.schemas import TICKET_COLUMNS
 from ticketlake.session import materialize
@@ -48,6 +49,7 @@ HOLIDAYS = (date(2000, 1, 3), date(2000, 12, 25), date(2001, 5, 1), date(2001, 7
 PRICES = [("norte", 0.28, 0.42), ("sur", 0.05, 0.4)]
 CALLS_PER_MONTH = 90_000
 MIN_MARGIN = 25.0
+SESSION_GAP = 600
 
 
 def query(fn: Query) -> Query:
@@ -841,6 +843,26 @@ def w9_business_days(spark, sf_dir):
     return _due(spark, sf_dir).select("id_ticket", "dias_habiles", "tipo")
 
 
+@query
+def w9_site_calendars(spark, sf_dir):
+    """Ageing by the calendar of the site that a ticket's area belongs to."""
+    changed = reminders.last_change(
+        view(spark, sf_dir, "tickets"), view(spark, sf_dir, "historial_estado"), "id_area"
+    )
+    sites = small_dimension(view(spark, sf_dir, "areas").select("id_area", "sede"))
+    due = reminders.due_by_site(changed.join(sites, "id_area"), view(spark, sf_dir, "festivos"), TODAY)
+    return due.select("id_ticket", "sede", "dias_habiles", "tipo")
+
+
+@query
+def r2_sessions_batch(spark, sf_dir):
+    return _session_times(metrics.sessions(_operations(spark, sf_dir), SESSION_GAP))
+
+
+def _session_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({n: F.date_format(n, "yyyy-MM-dd HH:mm:ss.SSSSSS") for n in ("desde", "hasta")})
+
+
 @query
 def j5_reminders(spark, sf_dir):
     due = _due(spark, sf_dir)

@@ -79,6 +79,10 @@ VIEWS = {
                     ELSE 'En proceso' END AS estado_nuevo,
                CAST(l_shipdate AS DATE) AS fecha_cambio
         FROM {lineitem}""",
+    # Holidays of each site; weekends and repeats among them.
+    "festivos": f"""
+        SELECT sede, {_DAY} AS dia FROM {{orders}} JOIN {{areas}} ON o_orderkey % 25 = id_area
+        WHERE o_orderkey % 41 = 3""",
     "capturas": f"""
         SELECT o_orderkey AS k, o_orderkey * 4 + 1 AS _row,
                CASE WHEN o_orderkey % 97 = 0 THEN '  '

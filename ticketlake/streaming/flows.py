@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -17,10 +16,11 @@ from ticketlake.operators.clean import (
     typed_tickets,
     validation_rejects,
 )
-from ticketlake.operators.metrics import last_samples, latency_summary
+from ticketlake.operators.metrics import CALL_SUMS, call_sums, last_samples, latency_summary
 from ticketlake.operators.reminders import due_reminders, last_change, not_yet_sent
 from ticketlake.operators.rules import ANSWER_COLUMNS, answer_order, validate_model_output
 from ticketlake.session import materialize
+from ticketlake.streaming.ledger import add_once
 from ticketlake.streaming.state import KeyedState, advance, previous
 
 
@@ -34,16 +34,27 @@ def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minu
         events.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", late)
         .groupBy(F.window("ts", width), "operacion")
-        .agg(
-            F.count("*").alias("llamadas"),
-            F.count_if(F.col("origen") == "degradado").alias("degradadas"),
-            F.sum(F.coalesce("tokens_entrada", F.lit(0))).alias("tokens_entrada"),
-            F.sum(F.coalesce("tokens_salida", F.lit(0))).alias("tokens_salida"),
-        )
-        .select(
-            F.col("window.start").alias("desde"), "operacion", "llamadas", "degradadas",
-            "tokens_entrada", "tokens_salida",
-        )
+        .agg(*call_sums())
+        .select(F.col("window.start").alias("desde"), "operacion", *CALL_SUMS)
+    )
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Calls, degraded calls and tokens of each session of an operation, as a stream.
+
+    A session is a run of calls at most ``gap`` apart; :func:`ticketlake.operators.metrics.sessions`
+    finds the same in batch. A session is given out once the watermark has passed its last call by
+    ``gap``; events may come out of order by up to ``late``, also such that join two sessions to one.
+    State is a row per open session. Each task merges its own calls to sessions before they meet by
+    operation, so a busy operation costs its sessions. Rows without a time are left out.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    return (
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
+        .groupBy(F.session_window("ts", gap), "operacion")
+        .agg(*call_sums(), F.max("ts").alias("hasta"))
+        .select(F.col("session_window.start").alias("desde"), "hasta", "operacion", *CALL_SUMS)
     )
 
 
@@ -203,26 +214,19 @@ def clean_changes(spark: SparkSession, clean_path: str) -> DataFrame:
 
 def send_reminders(
     tickets: DataFrame, history: DataFrame, ledger_path: str, today: date,
-    holidays: Sequence[date] = (),
+    holidays: Sequence[date] = (), run: str | None = None,
 ) -> DataFrame:
-    """Append the due reminders of a day that the ledger does not hold yet; return that day's.
+    """Enter the due reminders of a day that the ledger does not hold yet; return that day's.
 
-    Only that day's folder of the ledger is read, as no other can hold its entries. A second run of
-    the same day finds every (ticket, type, date) there and adds nothing; runs of one day must
-    follow one another, and an entry that two runs at once both wrote is read once.
+    Only that day's folder of the ledger is read, as no other can hold its entries. Every (ticket,
+    type, date) is entered by one run: a second run of the day adds nothing, and of runs at the same
+    time one wins each entry (:mod:`ticketlake.streaming.ledger`). Whoever sends the messages of a
+    named ``run`` sends the entries whose ``intento`` it is.
     """
-    spark = tickets.sparkSession
-    due = due_reminders(last_change(tickets, history), today, holidays)
-    target = f"{ledger_path}/dia={today.isoformat()}"
+    due = materialize(due_reminders(last_change(tickets, history), today, holidays))
     schema = "id_ticket long, codigo string, dias_habiles long, tipo string, fecha date"
-    try:
-        ledger = spark.read.schema(schema).parquet(target)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        ledger = spark.createDataFrame([], schema)
-    fresh = not_yet_sent(due, ledger)
-    fresh.select("id_ticket", "codigo", "dias_habiles", "tipo", "fecha").write.mode(
-        "append"
-    ).parquet(target)
-    return spark.read.schema(schema).parquet(target).dropDuplicates(["id_ticket", "tipo", "fecha"])
+    names = ["id_ticket", "codigo", "dias_habiles", "tipo", "fecha"]
+    return add_once(
+        tickets.sparkSession, f"{ledger_path}/dia={today.isoformat()}", schema,
+        lambda sent: not_yet_sent(due, sent).select(*names), run,
+    )
