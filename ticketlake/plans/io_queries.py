@@ -16,6 +16,7 @@ from ticketlake.plans.queries import (
     HOLIDAYS,
     SESSION_GAP,
     TODAY,
+    _cleaned,
     _matrix,
     _operations,
     _questions,
@@ -83,13 +84,13 @@ def w2_rows(spark, sf_dir):
 @query
 def s2_clean(spark, sf_dir):
     path = _folder(spark)
-    tickets.write_clean(clean.clean_history(_raw(spark, sf_dir)).clean, path, "csv")
+    tickets.write_clean(_cleaned(spark, sf_dir).clean, path, "csv")
     return tickets.read_tickets(spark, path).select(*TICKET_COLUMNS)
 
 
 def _by_month(spark, sf_dir) -> str:
     path = _folder(spark)
-    months.write_months(clean.clean_history(_raw(spark, sf_dir)).clean, path)
+    months.write_months(_cleaned(spark, sf_dir).clean, path)
     return path
 
 
@@ -120,7 +121,7 @@ def s2_months_stream(spark, sf_dir):
 @query
 def s3_quarantine(spark, sf_dir):
     path = _folder(spark)
-    tickets.write_quarantine(clean.clean_history(_raw(spark, sf_dir)).quarantine, path)
+    tickets.write_quarantine(_cleaned(spark, sf_dir).quarantine, path)
     return spark.read.parquet(path).select(
         "numero_de_fila",
         "motivo",
@@ -130,6 +131,15 @@ def s3_quarantine(spark, sf_dir):
     )
 
 
+@query
+def s4_written(spark, sf_dir):
+    """The summary of the cleaned history, written as a report and read back."""
+    path = _folder(spark)
+    tickets.write_summary(reports.summarize(_cleaned(spark, sf_dir).clean), path)
+    schema = "agrupacion string, nombre string, total long, abiertos long, cerrados long, tasa_reapertura_pct double"
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
 @query
 def s7_read(spark, sf_dir):
     """One file per page, read back as a folder of documents."""

@@ -693,6 +693,9 @@ SELECTS: dict[str, str] = {
     "s4_summary": "SELECT agrupacion, nombre, total, abiertos, cerrados, tasa_reapertura_pct FROM ("
     + _summary("tickets", "categoria").replace("'categoria' AS agrupacion", "'area' AS agrupacion")
     + ")",
+    "s4_written": "SELECT agrupacion, nombre, total, abiertos, cerrados, tasa_reapertura_pct FROM ("
+    + _summary("limpios")
+    + ")",
     "a4_area_priority": "SELECT area, prioridad, count(*) AS total FROM limpios GROUP BY ALL",
     "w11_priority_order": f"""SELECT prioridad AS nombre, count(*) AS total,
         CASE prioridad {_ORDER} ELSE 5 END AS posicion FROM tickets GROUP BY prioridad""",

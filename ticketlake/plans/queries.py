@@ -61,17 +61,22 @@ def _flat(col, separator: str = "|"):
     return F.array_join(col, separator)
 
 
-_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+_BUILT: dict[tuple[str, str, str], object] = {}
 
 
-def _once(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """An input that several queries share, written once per session."""
+def _shared[T](name: str, spark: SparkSession, sf_dir: str, build: Callable[[], T]) -> T:
+    """What several queries share, built once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
-        _BUILT[key] = materialize(build())
+        _BUILT[key] = build()
     return _BUILT[key]
 
 
+def _once(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An input that several queries share, written once per session."""
+    return _shared(name, spark, sf_dir, lambda: materialize(build()))
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hand-written history: an input of the cleaning queries."""
     def render() -> DataFrame:
@@ -81,6 +86,11 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once("tickets_crudos", spark, sf_dir, render)
 
 
+def _cleaned(spark: SparkSession, sf_dir: str) -> clean.Cleaning:
+    """The cleaned history over judged rows that are written once: an input of the queries on it."""
+    return _shared("limpieza", spark, sf_dir, lambda: clean.clean_history(_raw(spark, sf_dir)))
+
+
 # Typed values ---------------------------------------------------------------------------------
 
 
@@ -158,12 +168,12 @@ def p5_valid(spark, sf_dir):
 
 @query
 def w1_dedup_clean(spark, sf_dir):
-    return clean.clean_history(_raw(spark, sf_dir)).clean
+    return _cleaned(spark, sf_dir).clean
 
 
 @query
 def w1_dedup_quarantine(spark, sf_dir):
-    rejects = clean.clean_history(_raw(spark, sf_dir)).duplicates
+    rejects = _cleaned(spark, sf_dir).duplicates
     stored = [
         F.col("fila_original")[name].alias(f"fila_{name}")
         for name in ("id", "categoria", "solicitante", "fecha_cierre")
@@ -173,30 +183,30 @@ def w1_dedup_quarantine(spark, sf_dir):
 
 @query
 def w10_quarantine(spark, sf_dir):
-    return clean.clean_history(_raw(spark, sf_dir)).quarantine.select(
+    return _cleaned(spark, sf_dir).quarantine.select(
         "numero_de_fila", "motivo", "detalle", "numero_fila_descartada"
     )
 
 
 @query
 def a5_quality(spark, sf_dir):
-    return clean.clean_history(_raw(spark, sf_dir)).report
+    return _cleaned(spark, sf_dir).report
 
 
 @query
 def a6_gate(spark, sf_dir):
-    return clean.quality_gate(clean.clean_history(_raw(spark, sf_dir)).report)
+    return clean.quality_gate(_cleaned(spark, sf_dir).report)
 
 
 @query
 def p15_second_pass(spark, sf_dir):
-    quarantine = clean.clean_history(_raw(spark, sf_dir)).quarantine
+    quarantine = _cleaned(spark, sf_dir).quarantine
     return clean.second_pass_eligible(quarantine).select("numero_de_fila", "motivo")
 
 
 @query
 def a3_summary(spark, sf_dir):
-    return reports.summarize(clean.clean_history(_raw(spark, sf_dir)).clean)
+    return reports.summarize(_cleaned(spark, sf_dir).clean)
 
 
 @query
@@ -208,7 +218,7 @@ def s4_summary(spark, sf_dir):
 
 @query
 def a4_area_priority(spark, sf_dir):
-    return reports.area_priority_counts(clean.clean_history(_raw(spark, sf_dir)).clean)
+    return reports.area_priority_counts(_cleaned(spark, sf_dir).clean)
 
 
 @query
@@ -467,10 +477,15 @@ def w8_split_group(spark, sf_dir):
 
 
 def _predictions(spark, sf_dir):
+    """The test rows and their predictions by a model trained on the others; predicted once."""
     split = bayes.split_by_row(_labelled(spark, sf_dir), "doc_id", SEED)
-    model = bayes.train_naive_bayes(split.filter(F.col("particion") == bayes.TRAIN))
     test = split.filter(F.col("particion") == bayes.TEST)
-    return test, bayes.predict_naive_bayes(test, model)
+
+    def predicted() -> DataFrame:
+        model = bayes.train_naive_bayes(split.filter(F.col("particion") == bayes.TRAIN))
+        return bayes.predict_naive_bayes(test, model)
+
+    return test, _once("predicciones", spark, sf_dir, predicted)
 
 
 def _matrix(spark, sf_dir):
