@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ticketlake.functions.ratios import rate
-from ticketlake.operators.skew import HOT_ROWS, hot_keys, salted_join
-from ticketlake.operators.tfidf import postings, term_counts
-from ticketlake.session import materialize
+from ticketlake.operators.skew import HOT_ROWS, frequent_from, hot_keys, salted_join
+from ticketlake.operators.tfidf import FREQUENT_TERMS, postings, term_counts
+from ticketlake.session import materialize, stored
 
 TRAIN, TEST = "entrenamiento", "prueba"
 TRAIN_SHARE = 0.8
@@ -71,11 +71,12 @@ def predict_naive_bayes(
 
     The class with the highest log-posterior over known terms; equal scores go to the
     alphabetically last class. ``margen`` is the gap to the second class. Each text term meets one
-    model row (a short list, one entry per class) in a salted join, and the products add up per
-    text; classes without the term add their unseen-term constant through the known-term count.
+    model row (a short list, one entry per class), and the products add up per text; classes without
+    the term add their unseen-term constant through the known-term count. The most frequent terms
+    meet their rows where the text stands, so only the others move, in a salted join.
     """
     unseen = model.classes.select("etiqueta", "log_desconocido")
-    by_term = (
+    by_term = stored(
         model.terms.join(unseen, "etiqueta")
         .groupBy("termino")
         .agg(
@@ -88,10 +89,15 @@ def predict_naive_bayes(
             ).alias("_gains"),
         )
     )
-    flat = postings(term_counts(texts, F.col("texto"), key), key)
-    known = salted_join(
-        flat, by_term.drop("_n"), "termino", hot_keys(by_term, "termino", "_n", hot_rows), [key]
-    ).repartition(key)
+    flat = postings(stored(term_counts(texts, F.col("texto"), key)), key)
+    is_frequent = frequent_from(by_term, "_n", FREQUENT_TERMS, F.size("_gains"))
+    frequent = by_term.filter(is_frequent).drop("_n")
+    rare = by_term.filter(~is_frequent)
+    moved = salted_join(
+        flat.join(F.broadcast(frequent.select("termino")), "termino", "left_anti"),
+        rare.drop("_n"), "termino", hot_keys(rare, "termino", "_n", hot_rows), [key],
+    )
+    known = flat.join(F.broadcast(frequent), "termino").unionByName(moved)
     gains = (
         known.select(
             key,
