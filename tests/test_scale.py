@@ -89,6 +89,8 @@ def test_a_few_rules_go_to_the_texts(spark, monkeypatch):
     cut = lambda df, text, *rest: never() if text == "_key" else by_piece(df, text, *rest)
     monkeypatch.setattr(dictionaries, "_with_grams", cut)
     few = run()
+    monkeypatch.setattr(dictionaries, "FEW_GRAMS", 0)
+    assert few == run()
     monkeypatch.setattr(dictionaries, "_with_grams", by_piece)
     monkeypatch.setattr(dictionaries, "DIMENSION_ROWS", 0)
     assert few == run()

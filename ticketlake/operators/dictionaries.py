@@ -7,8 +7,12 @@ driver nor a plan ever holds a dictionary. Lookups broadcast a dictionary of at
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketlake.functions.catalogs import CATALOGS, Catalogs, catalog_state, lookup
@@ -17,8 +21,13 @@ from ticketlake.operators.rules import DEFAULT_RULE_CATEGORY, rule_priority
 from ticketlake.operators.skew import DIMENSION_ROWS, HOT_ROWS, hot_keys, salted_join
 from ticketlake.session import materialize
 
+# Functions that run in tasks travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Characters of the piece that a keyword is searched by; a shorter keyword is its own piece.
 GRAM = 4
+#: Pieces of keywords that a task looks for in a text one by one.
+FEW_GRAMS = 200
 
 
 def _meet(rows: DataFrame, dictionary: DataFrame, key: str, how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -126,13 +135,43 @@ def anchored_keywords(keywords: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     return rarest.select("_a.gram", "palabra", "_a.orden", "_a.categoria").unionByName(short)
 
 
+def _first_keyword(listed: list[tuple[str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives the first of ``listed``, (gram, palabra) in the order of the rules, that a text holds. Up to
+    ``FEW_GRAMS`` pieces are searched for one by one; with more, a text is cut into all of its own once."""
+    by_gram = defaultdict(list)
+    for rank, (gram, word) in enumerate(listed):
+        by_gram[gram].append((rank, word))
+    lengths = {len(gram) for gram in by_gram}
+
+    def first(text: str) -> str | None:
+        if len(by_gram) <= FEW_GRAMS:
+            held = [gram for gram in by_gram if gram in text]
+        else:
+            held = by_gram.keys() & {text[i:i + n] for n in lengths for i in range(len(text) - n + 1)}
+        candidates = sorted(entry for gram in held for entry in by_gram[gram])
+        return next((word for _, word in candidates if word in text), None)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [None if key is None else first(key) for key in batch.column("_key").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_digest"), pa.array(words, "string")], ["_digest", "palabra"])
+
+    return find
+
+
 def first_rules(texts: DataFrame, keywords: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(_digest, orden, categoria)``: the first rule of each text that holds one of its keywords.
 
     ``texts``: (_digest, _key), one row per folded text, on a table or checkpoint. Texts and keywords
-    meet where a text holds a keyword's piece; such candidates are confirmed on the whole text.
+    meet where a text holds a keyword's piece; such candidates are confirmed on the whole text. Up to
+    ``DIMENSION_ROWS`` keywords go to the texts, which do not move; with more, both meet by piece.
     """
     anchored = materialize(anchored_keywords(keywords.filter("palabra <> ''"), hot_rows))
+    if anchored.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS:
+        listed = [(row["gram"], row["palabra"]) for row in anchored.orderBy("orden", "palabra").collect()]
+        found = texts.select("_digest", "_key").mapInArrow(_first_keyword(listed), "_digest string, palabra string")
+        rules = F.broadcast(anchored.select("palabra", "orden", "categoria"))
+        return found.join(rules, "palabra").select("_digest", "orden", "categoria")
     lengths = [
         row["n"] for row in anchored.select(F.length("gram").alias("n")).distinct().orderBy("n").collect()
     ]
